@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_lm_score": "lm",
+    "op3_pii": "pii",
     "op6_decontaminate": "decontaminate",
     "op8_warc": "warc",
     "op10_mix_sources": "mixing",
