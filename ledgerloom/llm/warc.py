@@ -163,7 +163,8 @@ def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield C.to_batch(dict(zip(schema.names, map(list, zip(*rows)))), schema)
 
-    return manifest.repartition("path").mapInArrow(run, kind_of)
+    archives = max(1, manifest.count())
+    return manifest.repartition(min(archives, max(1000, archives // 8))).mapInArrow(run, kind_of)  # by number: small manifests would otherwise be read by one task
 
 
 def assemble(records: DataFrame) -> DataFrame:
