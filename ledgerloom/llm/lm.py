@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import common as C
 
 START, END = b" <s>", b" </s>"  # no word holds a space
-_CHUNK = 2_000_000  # tokens that a worker sums at once
+_CHUNK = 3_000_000  # tokens that a worker sums at once
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -104,8 +104,29 @@ def _unpack(data, kinds: str) -> list[np.ndarray]:
     return out
 
 
-_PAIRS = "u8 u4 u8 u4"  # contexts, length of their runs, words, counts
-_WORDS = "u8 u8 u8 u8 u4 u4 u4"  # word, count, contexts before it, total after it, followers with 1, 2, more
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """_pack for the way between tasks: small numbers take few bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(_pack(*arrays))
+
+
+def _expand(data: bytes, kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    return _unpack(zstandard.ZstdDecompressor().decompress(data), kinds)
+
+
+def _small(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as single bytes; those from 255 on are 255, with their positions and values beside them."""
+    large = np.flatnonzero(a >= 255)
+    return np.minimum(a, 255).astype("u1"), large.astype("u8"), a[large].astype("u8")
+
+
+#: Between tasks - contexts, length of their runs, different words, the word of each pair, counts.
+_SENT = "u8 u4 u8 u4 u4"
+#: Files - pairs: hash, count, positions and values of large counts; words: hash, count, contexts before it, total after it, followers once, twice, more.
+_PAIRS, _WORDS = "u8 u1 u8 u8", "u8 u8 u4 u8 u4 u4 u4"
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -130,16 +151,17 @@ def _spread(key: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(33))) * _K1
 
 
-def _flush(chunk: Chunk, bits: int) -> list[tuple[int, bytes, bytes]]:
+def _flush(chunk: Chunk, bits: int) -> list[tuple[int, bytes]]:
     h, left, right = chunk.arrays()
     pairs, counts = np.unique((left << 32) | right, return_counts=True)
     left, right = h[pairs >> 32], h[pairs & 0xFFFFFFFF]
-    rows: dict[int, list[bytes]] = {}
+    rows = []
     for shard, at in _by_shard(pair_hash(left, right), bits):
         own = left[at]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        rows[shard] = [_pack(own[starts], np.diff(np.r_[starts, len(own)]).astype("u4"), right[at], counts[at].astype("u4")), b""]
-    return [(shard, *both) for shard, both in rows.items()]
+        words, which = np.unique(right[at], return_inverse=True)
+        rows.append((shard, _squeeze(own[starts], np.diff(np.r_[starts, len(own)]).astype("u4"), words, which.astype("u4"), counts[at].astype("u4"))))
+    return rows
 
 
 def _write(folder: str, name: str, data: bytes) -> str:
@@ -194,7 +216,7 @@ def train(documents: DataFrame, text: str = "text", shard_bytes: int = 24 << 20)
         schema, chunk = C.arrow_schema(sent), Chunk()
 
         def out():
-            for shard, pairs, _ in _flush(chunk, bits):
+            for shard, pairs in _flush(chunk, bits):
                 yield C.to_batch({"shard": [shard], "pairs": [pairs]}, schema)
 
         for batch in batches:
@@ -207,17 +229,18 @@ def train(documents: DataFrame, text: str = "text", shard_bytes: int = 24 << 20)
             yield from out()
 
     def add_pairs(group: pa.Table) -> pa.Table:
-        parts = [_unpack(x, _PAIRS) for x in group.column("pairs").to_pylist()]
+        parts = [_expand(x, _SENT) for x in group.column("pairs").to_pylist()]
         left = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        right = np.concatenate([p[2] for p in parts])
-        counts = np.concatenate([p[3] for p in parts]).astype("u8")
+        right = np.concatenate([p[2][p[3]] for p in parts])
+        counts = np.concatenate([p[4] for p in parts]).astype("u8")
+        del parts
         key = pair_hash(left, right)
         order = np.argsort(key, kind="stable")
         key, left, right, counts = key[order], left[order], right[order], counts[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         key, left, right, counts = key[starts], left[starts], right[starts], np.add.reduceat(counts, starts)
         shard = group.column("shard")[0].as_py()
-        path = _write(folder, f"pairs-{shard:08d}", _pack(key, counts.astype("u4")))
+        path = _write(folder, f"pairs-{shard:08d}", _pack(key, *_small(counts)))
         one = np.ones(len(key), dtype="u4")
         context = _sum_by(left, counts, (counts == 1).astype("u4"), (counts == 2).astype("u4"), (counts > 2).astype("u4"))
         word = _sum_by(right, counts, one)
@@ -230,28 +253,31 @@ def train(documents: DataFrame, text: str = "text", shard_bytes: int = 24 << 20)
         rows = {k: [] for k in passed.names}
         for k, (to, at) in enumerate(_by_shard(_spread(both[0]), bits)):
             rows["shard"].append(to)
-            rows["stats"].append(_pack(both[0][at], *(both[c][at].astype("u4") for c in range(1, 7))))
+            rows["stats"].append(_squeeze(both[0][at], *(both[c][at].astype("u4") for c in range(1, 7))))
             rows["path"].append(path if k == 0 else None)
             for n in (1, 2, 3, 4):
                 rows[f"n{n}"].append(int((counts == n).sum()) if k == 0 else None)
         return pa.Table.from_batches([C.to_batch(rows, C.arrow_schema(passed))])
 
     def add_words(group: pa.Table) -> pa.Table:
-        parts = [_unpack(x, "u8 u4 u4 u4 u4 u4 u4") for x in group.column("stats").to_pylist()]
+        parts = [_expand(x, "u8 u4 u4 u4 u4 u4 u4") for x in group.column("stats").to_pylist()]
         key, *values = _sum_by(np.concatenate([p[0] for p in parts]), *(np.concatenate([p[c] for p in parts]).astype("u8") for c in range(1, 7)))
         # In the order of the hash that dealt them, so that a look-up finds the shard by its top bits.
         order = np.argsort(_spread(key), kind="stable")
         key, values = _spread(key)[order], [v[order] for v in values]
         shard = group.column("shard")[0].as_py()
-        path = _write(folder, f"words-{shard:08d}", _pack(key, *values[:3], *(v.astype("u4") for v in values[3:])))
-        row = {"shard": [shard], "path": [path], "types": [int((values[0] > 0).sum())], "tokens": [int(values[0].sum())], "contexts": [int(values[1].sum())]}
-        row |= {f"n{n}": [int((values[1] == n).sum())] for n in (1, 2, 3, 4)}
-        return pa.Table.from_batches([C.to_batch(row, C.arrow_schema(done))])
-
-    # Both results are cut: their files exist once, under the names that the rows hold.
-    first = C.cut(docs.mapInArrow(count, sent).groupBy("shard").applyInArrow(add_pairs, passed))
-    pairs = first.filter("path is not null").select("path", "n1", "n2", "n3", "n4").collect()
-    words = first.select("shard", "stats").groupBy("shard").applyInArrow(add_words, done).collect()
+        path = _write(folder, f"words-{shard:08d}", _pack(key, *(v.astype(k) for v, k in zip(values, _WORDS.split()[1:]))))
+        row = {"shard": shard, "path": path, "types": int((values[0] > 0).sum()), "tokens": int(values[0].sum()), "contexts": int(values[1].sum())}
+        rows = [row | {f"n{n}": int((values[1] == n).sum()) for n in (1, 2, 3, 4)}]
+        # What the pair shards say of themselves travels along.
+        for r in group.select(["path", "n1", "n2", "n3", "n4"]).to_pylist():
+            if r["path"]:
+                rows.append(dict.fromkeys(done.names) | r)
+        return pa.Table.from_batches([C.to_batch({k: [r[k] for r in rows] for k in done.names}, C.arrow_schema(done))])
+
+    first = docs.mapInArrow(count, sent).groupBy("shard").applyInArrow(add_pairs, passed)
+    rows = first.groupBy("shard").applyInArrow(add_words, done).collect()
+    words, pairs = [r for r in rows if r.shard is not None], [r for r in rows if r.shard is None]
     total = lambda rows, k: sum(r[k] for r in rows)
     n_of = lambda rows: [total(rows, f"n{n}") for n in (1, 2, 3, 4)]
     at = lambda rows: {int(r.path.rpartition("-")[0].rpartition("-")[2]): r.path for r in rows}
@@ -284,8 +310,15 @@ class Model:
             key, *values = self.maps[what, shard]
             i = np.minimum(np.searchsorted(key, q[at]), len(key) - 1)
             found = key[i] == q[at]
-            for o, v in zip(out, values):
-                o[at[found]] = v[i[found]]
+            i, to = i[found], at[found]
+            if what == "words":
+                for o, v in zip(out, values):
+                    o[to] = v[i]
+            elif len(i):
+                n = values[0][i].astype(np.int64)
+                if len(large := np.flatnonzero(n == 255)):
+                    n[large] = values[2][np.searchsorted(values[1], i[large])]
+                out[0][to] = n
         return out
 
     def words(self, h: np.ndarray) -> list[np.ndarray]:
@@ -308,7 +341,7 @@ class Model:
         key = pair_hash(h[a], h[b])
         order = np.argsort(key)
         n = np.empty(len(key), np.int64)
-        n[order] = self._look_up("pairs", "u8 u4", key[order])[0]
+        n[order] = self._look_up("pairs", _PAIRS, key[order])[0]
         prob = np.maximum(n - _discount(n, self.high), 0) / np.maximum(total[a], 1) + spare[a] * p[b]
         base = np.log10((c + 0.1) / (self.f["tokens"] + 0.1 * (self.f["types"] + 1)))
         sizes = [len(w) for w in chunk.words]
