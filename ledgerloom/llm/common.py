@@ -115,6 +115,19 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in column(batch, name).to_pylist()]
 
 
+def slices(docs: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of about so many characters; a longer text is a list of its own."""
+    own, held = [], 0
+    for t in docs:
+        if own and held + len(t) > chars:
+            yield own
+            own, held = [], 0
+        own.append(t)
+        held += len(t)
+    if own:
+        yield own
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

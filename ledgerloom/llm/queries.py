@@ -7,6 +7,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_lm_score": "lm",
     "op3_pii": "pii",
+    "op4_toxicity": "toxicity",
     "op6_decontaminate": "decontaminate",
     "op8_warc": "warc",
     "op10_mix_sources": "mixing",
