@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_lm_score": "lm",
+    "op2_near_dedup": "order_minhash",
     "op3_pii": "pii",
     "op4_toxicity": "toxicity",
     "op6_decontaminate": "decontaminate",
