@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_toxicity": "toxicity",
     "op6_decontaminate": "decontaminate",
     "op8_warc": "warc",
+    "op9_line_dedup": "line_dedup",
     "op10_mix_sources": "mixing",
 }
 
