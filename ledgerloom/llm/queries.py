@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_pii": "pii",
     "op4_toxicity": "toxicity",
     "op6_decontaminate": "decontaminate",
+    "op7_extract_html": "html_extract",
     "op8_warc": "warc",
     "op9_line_dedup": "line_dedup",
     "op10_mix_sources": "mixing",
