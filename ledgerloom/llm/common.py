@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,30 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return df.mapInArrow(run, df.schema)
 
 
+def by_group(df: DataFrame, keys: list[str], ddl: str, make: Callable[[], Callable[[pa.Table], pa.Table]]) -> DataFrame:
+    """Calls a function with the rows of each group, which must be small; many small groups cost little more than their rows."""
+    schema = schema_of(ddl)
+    marked = df.withColumn("__g", F.xxhash64(*keys)).repartition("__g").sortWithinPartitions("__g", *keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, held, held_g = make(), [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = column(batch, "__g").to_numpy()
+            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1), len(g)]
+            for s, e in zip(cuts, cuts[1:]):
+                if held and g[s] != held_g:
+                    yield from fn(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held_g = g[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from fn(pa.Table.from_batches(held)).to_batches()
+
+    return marked.mapInArrow(run, schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -225,30 +225,6 @@ def _live(entries_: DataFrame) -> DataFrame:
     return parted.mapInArrow(run, schema)
 
 
-def by_group(df: DataFrame, keys: list[str], ddl: str, make: Callable[[], Callable[[pa.Table], pa.Table]]) -> DataFrame:
-    """Calls a function with the rows of each group, which must be small; many small groups cost little more than their rows."""
-    schema = C.schema_of(ddl)
-    marked = df.withColumn("__g", F.xxhash64(*keys)).repartition("__g").sortWithinPartitions("__g", *keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn, held, held_g = make(), [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            g = C.column(batch, "__g").to_numpy()
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1), len(g)]
-            for s, e in zip(cuts, cuts[1:]):
-                if held and g[s] != held_g:
-                    yield from fn(pa.Table.from_batches(held)).to_batches()
-                    held = []
-                held_g = g[s]
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield from fn(pa.Table.from_batches(held)).to_batches()
-
-    return marked.mapInArrow(run, schema)
-
-
 def _bags(lines: list[str]) -> np.ndarray:
     """Counts of characters by their last five bits."""
     return np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 31, minlength=32) for x in lines]).astype(np.int32)
@@ -310,7 +286,7 @@ def near_dropped(documents: DataFrame, firsts: DataFrame, most: int = 2, block:
 
         return drop
 
-    return by_group(dealt, ["bucket", "p", "q"], "id binary", make).distinct()
+    return C.by_group(dealt, ["bucket", "p", "q"], "id binary", make).distinct()
 
 
 def dropped(documents: DataFrame, most_edits: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:

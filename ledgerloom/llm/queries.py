@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_near_dedup": "order_minhash",
     "op3_pii": "pii",
     "op4_toxicity": "toxicity",
+    "op5_neighbours": "neighbours",
     "op6_decontaminate": "decontaminate",
     "op7_extract_html": "html_extract",
     "op8_warc": "warc",
