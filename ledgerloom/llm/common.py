@@ -107,9 +107,9 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     return df.mapInArrow(run, df.schema)
 
 
-def by_group(df: DataFrame, keys: list[str], ddl: str, make: Callable[[], Callable[[pa.Table], pa.Table]]) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], ddl: str | T.StructType, make: Callable[[], Callable[[pa.Table], pa.Table]]) -> DataFrame:
     """Calls a function with the rows of each group, which must be small; many small groups cost little more than their rows."""
-    schema = schema_of(ddl)
+    schema = schema_of(ddl) if isinstance(ddl, str) else ddl
     marked = df.withColumn("__g", F.xxhash64(*keys)).repartition("__g").sortWithinPartitions("__g", *keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

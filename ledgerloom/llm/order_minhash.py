@@ -11,11 +11,12 @@ k-mers make up at least 0.8 of all (aligned / (n1 + n2 - aligned)). With 20 band
 of 2 sketches a pair at exactly 0.8 is missed with a probability below 1e-4.
 
 Texts with equal words are one class from the start. Then, first round: each
-class is verified against the smallest class that shares a band with it, and
-components are formed; so a large group of near copies costs one comparison a
-member. Second round: in every band bucket that still holds several components,
+class is verified against the class in its buckets that shares most of them, the
+likeliest original, and components are formed; so a large group of near copies
+costs one comparison a member. Second round: in every band bucket that still holds several components,
 members are dealt in blocks and all pairs of different components are compared
-inside the tasks, which return only links. No pair is skipped, none is emitted.
+inside the tasks - by the k-mers they share, then by alignment - which return only
+links. No pair is skipped, none is emitted.
 
 Defined results: texts without words (null, empty, punctuation) are in a class
 of their own and near to nothing; a class is named by its smallest doc_id;
@@ -53,16 +54,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str], cache: dict[str, int]) -> np.ndarray:
-    import xxhash
+class Hashes(dict):
+    """Hashes of words, kept for words seen before."""
 
-    out = []
-    for w in words:
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def word_hashes(words: list[str], cache: Hashes) -> np.ndarray:
+    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def kmers(h: np.ndarray, k: int = 5) -> np.ndarray:
@@ -168,12 +173,10 @@ def sketch(documents: DataFrame, bands: int = 20, rows: int = 2) -> DataFrame:
     def make():
         import hashlib
 
-        cache: dict[str, int] = {}
+        cache = Hashes()
         seeds = seeds_of(bands * rows)
 
         def run(batch):
-            if len(cache) > 500_000:
-                cache.clear()
             keys, found = [], []
             for t in C.texts(batch):
                 words = words_of(t)
@@ -187,8 +190,27 @@ def sketch(documents: DataFrame, bands: int = 20, rows: int = 2) -> DataFrame:
     return C.map_batches(docs, f"doc_id {kind}, text_key binary, key binary, bands array<bigint>", make)
 
 
-def _sequences(texts: list[str], cache: dict[str, int]) -> list[list[int]]:
-    return [kmers(word_hashes(words_of(t), cache)).tolist() for t in texts]
+def _sequences(texts: list[str], cache: Hashes) -> list[np.ndarray]:
+    return [kmers(word_hashes(words_of(t), cache)) for t in texts]
+
+
+def shared(seqs: list[np.ndarray]) -> np.ndarray:
+    """For each two sequences the number of labelled k-mers in both: no alignment can be longer."""
+    labels = [labelled(s) for s in seqs]
+    owner = np.repeat(np.arange(len(seqs)), [len(x) for x in labels])
+    _, which, count = np.unique(np.concatenate(labels), return_inverse=True, return_counts=True)
+    often = count > 1
+    column = np.cumsum(often) - 1
+    keep = often[which]
+    owner, which = owner[keep], column[which[keep]]
+    out = np.zeros((len(seqs), len(seqs)))
+    step = 50_000  # columns at once
+    for s in range(0, int(often.sum()), step):
+        own = (which >= s) & (which < s + step)
+        m = np.zeros((len(seqs), min(step, int(often.sum()) - s)), dtype=np.float32)
+        m[owner[own], which[own] - s] = 1
+        out += m @ m.T
+    return out
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
@@ -196,13 +218,13 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def near_classes(documents: DataFrame, bands: int = 20, rows: int = 2, tenths: int = 8, block: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_classes(documents: DataFrame, bands: int = 20, rows: int = 2, tenths: int = 8, block: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, text_key, class_id, kept: one row for each row of documents."""
     sketches = C.cut(sketch(documents, bands, rows))
     classes = sketches.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("bands").alias("bands"))
     spread = classes.select("key", F.explode("bands").alias("bucket"))
-    hubs = spread.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
-    members = C.cut(spread.join(hubs, "bucket"))  # only buckets with several classes
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = C.cut(spread.join(sizes, "bucket"))  # only buckets with several classes
     nodes = members.select("key").distinct()
     owners = C.cut(classes.join(nodes, "key", "left_semi").select("key", "own.doc_id", "own.text_key"))
     texts = (
@@ -212,41 +234,59 @@ def near_classes(documents: DataFrame, bands: int = 20, rows: int = 2, tenths: i
     )
     texts = C.cut(texts)
 
-    # First round: the smallest class that shares a band, one comparison for each class.
-    first = members.groupBy("key").agg(F.min("hub").alias("hub")).filter("hub <> key")
+    # First round: each class meets the class that shares most buckets with others, of all in its buckets; one comparison each.
+    # The original of many copies is nearer to them than they are to each other, and so shares most.
+    degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    placed = members.join(degree, "key")
+    hubs = placed.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub"))
+    first = placed.join(hubs, "bucket").groupBy("key").agg(F.max("hub").getField("key").alias("hub")).filter("hub <> key")
     paired = first.join(texts, "key").join(texts.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
 
     def compare(batches):
-        cache: dict[str, int] = {}
+        cache = Hashes()
         last: tuple[str, list[int]] = ("", [])
         for batch in batches:
-            if len(cache) > 500_000:
-                cache.clear()
             good = []
             for t, h in zip(C.texts(batch), C.texts(batch, "hub_text")):
                 if h != last[0]:
-                    last = (h, _sequences([h], cache)[0])
-                good.append(near(_sequences([t], cache)[0], last[1], tenths))
+                    last = (h, _sequences([h], cache)[0].tolist())
+                good.append(near(_sequences([t], cache)[0].tolist(), last[1], tenths))
             yield batch.filter(pa.array(good, type=pa.bool_())).select(["a", "b"])
 
     links_kind = C.schema_of("a binary, b binary")
     one = C.cut(paired.select(F.col("hub").alias("a"), F.col("key").alias("b"), "text", "hub_text").mapInArrow(compare, links_kind))
     labels = components(one)
 
-    # Second round: buckets that hold several components, in pairs of blocks.
-    placed = members.join(labels.select(F.col("v").alias("key"), "c"), "key", "left").select("bucket", "key", F.coalesce("c", "key").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    dealt = placed.join(mixed.select("bucket", "n"), "bucket").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key", "c")
+    # Second round: buckets that hold several components. Their largest component needs no look at itself, so its members
+    # meet blocks of the others only; these meet each other, too.
+    placed = members.select("bucket", "key").join(labels.select(F.col("v").alias("key"), "c"), "key", "left").select("bucket", "key", F.coalesce("c", "key").alias("c"))
+    counts = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("all")).filter("all > most.n")
+    dealt = placed.join(mixed, "bucket").withColumn("minor", F.col("c") != F.col("most.c"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    dealt = dealt.withColumns({"k1": blocks(F.col("most.n")), "k2": blocks(F.col("all") - F.col("most.n"))})
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("key"), F.when(F.col("minor"), F.col("k2")).otherwise(F.col("k1"))).cast("int"))
+    # Meetings: (p, q) of a block p of the others with a block q of the largest (cross), or of the others.
+    at = lambda p, q, cross, own: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(cross).alias("cross"), own.cast("int").alias("own"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    others = F.concat(F.transform(upto(F.col("k1")), lambda j: at(F.col("b"), j, True, F.lit(0))), F.transform(upto(F.col("k2")), lambda j: at(F.least("b", j), F.greatest("b", j), False, F.col("b"))))
+    largest = F.transform(upto(F.col("k2")), lambda j: at(j, F.col("b"), True, F.lit(1)))
+    dealt = dealt.withColumn("m", F.explode(F.when(F.col("minor"), others).otherwise(largest))).select("bucket", "key", "c", "m.*")
     with_text = dealt.join(texts, "key")
 
     def within(group: pa.Table) -> pa.Table:
-        keys, labels_, own = (group.column(k).to_pylist() for k in ("key", "c", "own"))
-        across = group.column("p")[0].as_py() != group.column("q")[0].as_py()
-        cache: dict[str, int] = {}
-        seqs = _sequences([t or "" for t in group.column("text").to_pylist()], cache)
+        labels_, own = (group.column(k).to_pylist() for k in ("c", "own"))
+        across = group.column("cross")[0].as_py() or group.column("p")[0].as_py() != group.column("q")[0].as_py()
+        seqs = _sequences([t or "" for t in group.column("text").to_pylist()], Hashes())
+        n = np.array([len(s) for s in seqs])
+        numbers: dict[bytes, int] = {}
+        label = np.array([numbers.setdefault(c, len(numbers)) for c in labels_])
+        block_of = np.array(own)
+        common = shared(seqs)
+        # A pair within one block is compared where that block meets itself.
+        good = (label[:, None] != label[None, :]) & ((10 + tenths) * common >= tenths * (n[:, None] + n[None, :]))
+        good = np.tril(good & (block_of[:, None] != block_of[None, :]) if across else good, -1)
+        pairs = np.argwhere(good)
         root = {c: c for c in labels_}
 
         def find(c):
@@ -255,19 +295,21 @@ def near_classes(documents: DataFrame, bands: int = 20, rows: int = 2, tenths: i
                 c = root[c]
             return c
 
-        a, b = [], []
-        for i in range(len(keys)):
-            for j in range(i):
-                if across and own[i] == own[j]:
-                    continue  # compared where that block meets itself
-                x, y = find(labels_[i]), find(labels_[j])
-                if x != y and near(seqs[i], seqs[j], tenths):
-                    root[max(x, y)] = min(x, y)
-                    a.append(min(x, y))
-                    b.append(max(x, y))
+        a, b, lists = [], [], {}
+        for i, j in pairs[np.argsort(-common[good] / (n[pairs[:, 0]] + n[pairs[:, 1]]), kind="stable")] if len(pairs) else ():
+            x, y = find(labels_[i]), find(labels_[j])
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in lists:
+                    lists[k] = seqs[k].tolist()
+            if near(lists[i], lists[j], tenths):
+                root[max(x, y)] = min(x, y)
+                a.append(min(x, y))
+                b.append(max(x, y))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    two = C.cut(with_text.groupBy("bucket", "p", "q").applyInArrow(within, links_kind))  # links between labels
+    two = C.cut(C.by_group(with_text, ["bucket", "cross", "p", "q"], links_kind, lambda: within))  # links between labels
     labels = components(one.union(two))
     named = sketches.join(labels.select(F.col("v").alias("key"), "c"), "key", "left")
     named = named.select("doc_id", "text_key", F.coalesce("c", "key").alias("c"))
