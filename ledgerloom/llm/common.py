@@ -76,6 +76,27 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def pieces(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes: what a function makes of texts is many times their size."""
+    rows = batch.num_rows
+    step = max(1, min(rows, rows * size // max(1, batch.nbytes)))
+    for at in range(0, rows, step):
+        yield batch.slice(at, step)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: workers live on and would keep it from the next stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Applies a batch function in Python workers over Arrow, which keeps integers with nulls exact.
 
@@ -87,9 +108,11 @@ def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn, out = None, arrow_schema(schema)
         for batch in batches:
-            if batch.num_rows:
+            for piece in pieces(batch):
                 fn = fn or make()
-                yield to_batch(fn(batch), out)
+                yield to_batch(fn(piece), out)
+        del fn
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -100,9 +123,11 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
         for batch in batches:
-            if batch.num_rows:
+            for piece in pieces(batch):
                 fn = fn or make()
-                yield batch.filter(pa.array(fn(batch), type=pa.bool_()))
+                yield piece.filter(pa.array(fn(piece), type=pa.bool_()))
+        del fn
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
@@ -127,6 +152,8 @@ def by_group(df: DataFrame, keys: list[str], ddl: str | T.StructType, make: Call
                 held.append(batch.slice(s, e - s))
         if held:
             yield from fn(pa.Table.from_batches(held)).to_batches()
+        del fn
+        give_back()
 
     return marked.mapInArrow(run, schema)
 
@@ -140,19 +167,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in column(batch, name).to_pylist()]
 
 
-def slices(docs: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    """The texts in order, in lists of about so many characters; a longer text is a list of its own."""
-    own, held = [], 0
-    for t in docs:
-        if own and held + len(t) > chars:
-            yield own
-            own, held = [], 0
-        own.append(t)
-        held += len(t)
-    if own:
-        yield own
-
-
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

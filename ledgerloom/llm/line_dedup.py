@@ -132,7 +132,7 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = C.arrow_schema(schema)
-        for batch in batches:
+        for batch in (p for b in batches for p in C.pieces(b)):
             row, line, ids = [], [], []
             for k, t in enumerate(C.texts(batch)):
                 for i, x in enumerate(lines_of(t)):
@@ -156,7 +156,7 @@ def entries(documents: DataFrame, most: int) -> DataFrame:
         h = xxhash.xxh3_64_intdigest
         out, plans = C.arrow_schema(schema), {}
         seen: set[bytes] = set()  # a task's own repeats need no second entry; forgetting them only repeats entries
-        for batch in batches:
+        for batch in (p for b in batches for p in C.pieces(b)):
             bucket, sizes, own, ids = [], [], [], []
             for t in C.texts(batch):
                 for x in lines_of(t):
@@ -177,7 +177,7 @@ def entries(documents: DataFrame, most: int) -> DataFrame:
                     else:
                         bucket += [h(x[s : s + n].encode("utf-8", "surrogatepass"), 4 * length + k) for length, k, s, n, _ in plan]
                     own += [p[4] for p in plan]
-            if len(seen) > 500_000:
+            if len(seen) > 300_000:
                 seen.clear()
             if len(plans) > 50_000:
                 plans.clear()
@@ -243,7 +243,7 @@ def near_dropped(documents: DataFrame, firsts: DataFrame, most: int = 2, block:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = C.arrow_schema(kind)
-        for batch in batches:
+        for batch in (p for b in batches for p in C.pieces(b)):
             row, line, found = [], [], []
             for k, t in enumerate(C.texts(batch)):
                 for i, x in enumerate(lines_of(t)):

@@ -227,6 +227,8 @@ def train(documents: DataFrame, text: str = "text", shard_bytes: int = 24 << 20)
                     chunk = Chunk()
         if chunk.size:
             yield from out()
+        del chunk
+        C.give_back()
 
     def add_pairs(group: pa.Table) -> pa.Table:
         parts = [_expand(x, _SENT) for x in group.column("pairs").to_pylist()]

@@ -245,7 +245,7 @@ def near_classes(documents: DataFrame, bands: int = 20, rows: int = 2, tenths: i
     def compare(batches):
         cache = Hashes()
         last: tuple[str, list[int]] = ("", [])
-        for batch in batches:
+        for batch in (p for b in batches for p in C.pieces(b)):
             good = []
             for t, h in zip(C.texts(batch), C.texts(batch, "hub_text")):
                 if h != last[0]:

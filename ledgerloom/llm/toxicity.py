@@ -61,8 +61,8 @@ def _features(word: str) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names]
 
 
-def marginals(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For padded rows of log odds (rows x tokens): the marginals of the toxic state, and the expected transitions summed over all rows.
+def marginals(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.ndarray, learning: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For padded rows of log odds (rows x tokens): the marginals of the toxic state and, for learning, the expected transitions summed over all rows.
 
     step[i, j] and start[j] are log weights; rows must be ordered by falling size.
     """
@@ -86,7 +86,7 @@ def marginals(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.n
     p = a * b
     total = p.sum(axis=2)
     moves = np.zeros((2, 2))
-    if length > 1:
+    if learning and length > 1:
         e = np.stack((e0.T[1:], e1.T[1:]), axis=2)
         pair = a[:-1, :, :, None] * t * (b[1:] * e)[:, :, None, :]
         weight = pair.sum(axis=(2, 3), keepdims=True)
@@ -160,7 +160,7 @@ class Field:
             gold_moves, gold_first = np.zeros((2, 2)), np.zeros(2)
             for group in groups:
                 own, own_sizes = _padded([rows[k] for k in group])
-                p, m = marginals(emit[own], own_sizes, self.step, self.start)
+                p, m = marginals(emit[own], own_sizes, self.step, self.start, True)
                 expected += np.bincount(own.ravel(), p.ravel(), minlength=len(ids))
                 moves += m
                 first += [len(group) - p[:, 0].sum(), p[:, 0].sum()]
@@ -218,7 +218,7 @@ class Field:
         order = sorted((k for k in range(len(emit)) if len(emit[k])), key=lambda k: -len(emit[k]))
         at = 0
         while at < len(order):
-            room = max(1, min(512, 2_000_000 // len(emit[order[at]])))  # rows of a batch, so that its arrays stay small
+            room = max(1, min(512, 500_000 // len(emit[order[at]])))  # rows of a batch, so that its arrays stay small
             group = order[at : at + room]
             p = marginals(*_padded([emit[k] for k in group]), self.step, self.start)[0]
             for row, k in enumerate(group):
@@ -276,14 +276,10 @@ def score(documents: DataFrame, field: Field) -> DataFrame:
         cache: dict[str, float] = {}
 
         def run(batch):
-            if len(cache) > 500_000:
+            if len(cache) > 200_000:
                 cache.clear()
-            docs, scores, spans = C.texts(batch), [], []
-            for part in C.slices(docs):
-                s, f = field.score(part, cache)
-                scores.append(s)
-                spans += f
-            return {"doc_id": C.column(batch, "doc_id"), "score": np.concatenate(scores), "spans": spans}
+            s, spans = field.score(C.texts(batch), cache)
+            return {"doc_id": C.column(batch, "doc_id"), "score": s, "spans": spans}
 
         return run
 
@@ -297,9 +293,9 @@ def keep_clean(documents: DataFrame, field: Field, limit: float = 0.5) -> DataFr
         cache: dict[str, float] = {}
 
         def run(batch):
-            if len(cache) > 500_000:
+            if len(cache) > 200_000:
                 cache.clear()
-            return [s < limit for part in C.slices(C.texts(batch)) for s in field.score(part, cache, spans=False)[0]]
+            return [s < limit for s in field.score(C.texts(batch), cache, spans=False)[0]]
 
         return run
 
