@@ -146,3 +146,32 @@ def test_sample_is_stable_and_bounded(spark):
         per[r.section, r.era] = per.get((r.section, r.era), 0) + 1
     assert set(per.values()) == {5}
     assert {r.ticker for r in one if r.section == "item_1a"} != {r.ticker for r in one if r.section == "item_7"}
+
+
+def test_prompts_and_files(spark, tmp_path):
+    df = spark.createDataFrame([("item_7", "the text")], "section string, text string")
+    assert audit.prompts(df, "Audit %s: %s").first().prompt == "Audit item_7: the text"
+    render.write_text(spark, "a é\n", f"file://{tmp_path}/t.tex")
+    assert (tmp_path / "t.tex").read_text() == "a é\n"
+
+
+def test_published_arithmetic(spark):
+    """Shares of firms by locked tag as printed for 548 firms: 502, 45 and 1."""
+    from ledgerloom.operators import panel as ops
+
+    rows = [(f"t{i}", "NetIncomeLoss" if i < 502 else "ProfitLoss" if i < 547 else "IncomeLossFromContinuingOperations", 1.0) for i in range(548)]
+    df = spark.createDataFrame(rows, "ticker string, _tag_net_income string, net_income double")
+    got = {r.locked_tag: (r.firms, round(r.percent, 1)) for r in ops.tag_distribution(ops.tag_provenance(df)).filter("metric = 'net_income'").collect()}
+    assert got == {"NetIncomeLoss": (502, 91.6), "ProfitLoss": (45, 8.2), "IncomeLossFromContinuingOperations": (1, 0.2)}
+
+
+def test_robustness_variants(spark):
+    """Other windows, cut-offs and effects are parameters."""
+    from ledgerloom.plans.build_panel import VARIANTS
+
+    assert VARIANTS["winsor_2.5"].winsor == (0.025, 0.975) and VARIANTS["min_8_years"].min_years == 8
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"t{i % 20}", int(i // 20), *map(float, rng.normal(size=2))) for i in range(120)], "ticker string, fiscal_year int, y double, x double")
+    firm = regression.fit(df, "y", ["x"], ["ticker", "fiscal_year"])
+    one = regression.fit(df, "y", ["x"], ["fiscal_year"])
+    assert firm.effects == 25 and one.effects == 6 and firm.rss < one.rss and firm.aic != firm.bic
