@@ -18,6 +18,12 @@ from pyspark.sql import types as T
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of texts: 10000 rows, Spark's default, of a few kilobytes each hold much memory on both sides. A setting of the user's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,6 +109,7 @@ def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordB
     ``make`` runs once in each task and returns the function, so state that is
     expensive to build (automata, trees, memory maps) is built once.
     """
+    bound_batches(df.sparkSession)
     schema = schema_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +126,7 @@ def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordB
 
 def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
     """Keeps the rows, with all their columns, for which the batch function says True."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
@@ -158,6 +166,28 @@ def by_group(df: DataFrame, keys: list[str], ddl: str | T.StructType, make: Call
     return marked.mapInArrow(run, schema)
 
 
+def join_by_key(left: DataFrame, right: DataFrame, key: str, spread: Column, n: str = "n", parts: int = 100_000) -> DataFrame:
+    """Left join with a table of one row for each key (binary), some of which may be very frequent on the left.
+
+    right holds the key, n (its rows on the left) and further columns. Keys with
+    more than one in ``parts`` of the rows are fewer than ``parts``, which bounds
+    their broadcast; their rows then move under hashes of ``spread``, so the
+    shuffle that joins all other keys has no hot one. Null keys match nothing.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    limit = max(1000, total // parts)
+    cols = [c for c in right.columns if c not in (key, n)]
+    hot = right.filter(F.col(n) > limit).select(F.col(key).alias("__hot"), F.struct(*cols).alias("__a"))
+    rest = right.filter(F.col(n) <= limit).select(F.col(key).alias("__rest"), F.struct(*cols).alias("__b"))
+    out = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    own = F.unhex(F.md5(spread.cast("string").cast("binary")))
+    out = out.withColumn("__k", F.when(F.col("__hot").isNotNull(), own).otherwise(F.coalesce(F.col(key), own)))
+    out = out.join(rest, F.col("__k") == F.col("__rest"), "left")
+    # A spread key may, by chance, equal a real one: what the broadcast found comes first, and null keys get nothing.
+    got = F.when(F.col(key).isNotNull(), F.coalesce("__a", "__b"))
+    return out.select(*left.columns, *(got[c].alias(c) for c in cols))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -204,6 +204,7 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 def train(documents: DataFrame, text: str = "text", shard_bytes: int = 24 << 20) -> dict:
     """Counts the model over all rows; returns its files and totals, which fit a closure."""
     spark = documents.sparkSession
+    C.bound_batches(spark)
     folder = C.new_folder(spark, "ngrams")
     docs = documents.select(F.col(text).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

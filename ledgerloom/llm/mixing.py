@@ -95,7 +95,7 @@ def sainte_lague(shares: list[float], seats: int, limits: list[int] | None = Non
 
 def mix(
     documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = 16, repeat: int = 3,
-    shard_rows: int = 4096, seed: int = 17, max_sources: int = 100_000,
+    shard_rows: int = 4096, seed: int = 17, max_sources: int = 1_000_000,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken."""
     spark = documents.sparkSession

@@ -221,7 +221,7 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
 def near_classes(documents: DataFrame, bands: int = 20, rows: int = 2, tenths: int = 8, block: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, text_key, class_id, kept: one row for each row of documents."""
     sketches = C.cut(sketch(documents, bands, rows))
-    classes = sketches.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("bands").alias("bands"))
+    classes = sketches.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     spread = classes.select("key", F.explode("bands").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = C.cut(spread.join(sizes, "bucket"))  # only buckets with several classes
@@ -311,10 +311,12 @@ def near_classes(documents: DataFrame, bands: int = 20, rows: int = 2, tenths: i
 
     two = C.cut(C.by_group(with_text, ["bucket", "cross", "p", "q"], links_kind, lambda: within))  # links between labels
     labels = components(one.union(two))
-    named = sketches.join(labels.select(F.col("v").alias("key"), "c"), "key", "left")
-    named = named.select("doc_id", "text_key", F.coalesce("c", "key").alias("c"))
-    names = named.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("class_id"))
-    found = named.join(names, "c", "left").select("doc_id", "text_key", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    labels = labels.select(F.col("v").alias("key"), "c").join(classes.select("key", "n"), "key")
+    spread_by = F.xxhash64("doc_id", "text_key")  # copies of one text, and members of one class, may be a large part of all rows
+    named = C.join_by_key(sketches.select("doc_id", "text_key", "key"), labels, "key", spread_by).select("doc_id", "text_key", F.coalesce("c", "key").alias("c"))
+    names = named.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").withColumn("shared", F.lit(True))
+    found = C.join_by_key(named, names, "c", spread_by)
+    found = found.select("doc_id", "text_key", F.when(F.col("shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 

@@ -101,7 +101,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = 16 << 20, min_byte
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
     again = base.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    tied = base.join(again.drop("n"), "digest", "left")
+    tied = C.join_by_key(base, C.cut(again), "digest", F.xxhash64("page_id", "url"))
     tied = tied.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
     kind = C.schema_of("path string, captures long, bytes long")
