@@ -56,9 +56,18 @@ def _marks(word: str) -> list[str]:
     return [f"w {word}", *(f"b {word[:k]}" for k in (4, 5, 6) if len(word) > k)]
 
 
+_SEEDS = {k: zlib.crc32(k.encode()) for k in ("word", "begin", "end", "size")}
+_SIZES = [zlib.crc32(bytes([n]), _SEEDS["size"]) & ((1 << BITS) - 1) for n in range(16)]
+
+
 def _features(word: str) -> list[int]:
-    names = [f"w {word}", *(f"b {word[:k]}" for k in (2, 3, 4, 5, 6) if len(word) >= k), *(f"e {word[-k:]}" for k in (2, 3, 4) if len(word) >= k), f"n {min(len(word), 12)}"]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names]
+    """Hashed: the word, its first two to six and last two to four bytes, its length."""
+    raw, mask = word.encode("utf-8", "surrogatepass"), (1 << BITS) - 1
+    n, crc, begin, end = len(raw), zlib.crc32, _SEEDS["begin"], _SEEDS["end"]
+    out = [crc(raw, _SEEDS["word"]) & mask, _SIZES[min(n, 15)]]
+    out += [crc(raw[:k], begin) & mask for k in range(2, min(n, 6) + 1)]
+    out += [crc(raw[-k:], end) & mask for k in range(2, min(n, 4) + 1)]
+    return out
 
 
 def marginals(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray, start: np.ndarray, learning: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +112,20 @@ def _padded(rows: list[np.ndarray], fill: float = 0.0) -> tuple[np.ndarray, np.n
     return out, sizes
 
 
+class Emissions(dict):
+    """Log odds of words under a field, kept for words seen before."""
+
+    def __init__(self, field: Field) -> None:
+        super().__init__()
+        self.weights, self.bias = field.w.tolist(), float(field.bias[0])
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        e = self[word] = self.bias + sum(map(self.weights.__getitem__, _features(word)))
+        return e
+
+
 def _without_copies(docs: list[list[str]], hashes: int = 6) -> list[int]:
     """The first of each group of documents that share a minimum hash of their word pairs: copies are no independent evidence."""
     seen: set[tuple[int, int]] = set()
@@ -124,6 +147,7 @@ class Field:
         self.w = np.zeros(1 << BITS)
         self.step, self.start = np.zeros((2, 2)), np.zeros(2)
         self.final = np.zeros(5)
+        self.bias = np.zeros(1)
         self.ready = False
 
     def fit(self, docs: list[list[str]], toxic: np.ndarray, share: float = 0.5, rounds: int = 30, ridge: float = 0.5) -> Field:
@@ -190,7 +214,8 @@ class Field:
         return {m for m, c in seen[1].items() if c >= 3 and score(m) >= odds}
 
     def _fit_final(self, docs: list[list[str]], toxic: np.ndarray, share: float) -> None:
-        x = self.evidence([self.emissions(d, {}) for d in docs])[0]
+        cache = Emissions(self)
+        x = self.evidence([self.emissions(d, cache) for d in docs])[0]
         v = np.array([-2.0, 0.0, 0.0, 0.0, 0.0])
         weight = np.where(toxic == 1, share / max(1, (toxic == 1).sum()), (1 - share) / max(1, (toxic == 0).sum())) * len(toxic)
         for _ in range(50):
@@ -200,16 +225,9 @@ class Field:
             v -= np.clip(np.linalg.solve(h, g), -2, 2)
         self.final = v
 
-    def emissions(self, words: list[str], cache: dict[str, float]) -> np.ndarray:
+    def emissions(self, words: list[str], cache: Emissions) -> np.ndarray:
         """Log odds of each token; the cache keeps those of words seen before."""
-        out = np.empty(len(words))
-        get = cache.get
-        for k, w in enumerate(words):
-            e = get(w)
-            if e is None:
-                e = cache[w] = float(self.w[_features(w)].sum() + self.bias[0])
-            out[k] = e
-        return out
+        return np.fromiter(map(cache.__getitem__, words), dtype=float, count=len(words))
 
     def evidence(self, emit: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         """The scorer's inputs (1, largest and sum of the marginals, how many reach a half, length) and the marginals themselves."""
@@ -227,7 +245,7 @@ class Field:
             at += room
         return x, own
 
-    def score(self, texts: list[str], cache: dict[str, float], spans: bool = True) -> tuple[np.ndarray, list[list[dict]]]:
+    def score(self, texts: list[str], cache: Emissions, spans: bool = True) -> tuple[np.ndarray, list[list[dict]]]:
         if not self.ready:
             return np.zeros(len(texts)), [[] for _ in texts]
         x, own = self.evidence([self.emissions(tokens_of(t), cache) for t in texts])
@@ -273,11 +291,9 @@ def score(documents: DataFrame, field: Field) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def make():
-        cache: dict[str, float] = {}
+        cache = Emissions(field)
 
         def run(batch):
-            if len(cache) > 200_000:
-                cache.clear()
             s, spans = field.score(C.texts(batch), cache)
             return {"doc_id": C.column(batch, "doc_id"), "score": s, "spans": spans}
 
@@ -290,11 +306,9 @@ def keep_clean(documents: DataFrame, field: Field, limit: float = 0.5) -> DataFr
     """The documents, with all their columns, whose score is below the limit."""
 
     def make():
-        cache: dict[str, float] = {}
+        cache = Emissions(field)
 
         def run(batch):
-            if len(cache) > 200_000:
-                cache.clear()
             return [s < limit for s in field.score(C.texts(batch), cache, spans=False)[0]]
 
         return run
