@@ -128,6 +128,7 @@ def _text_key():
 
 def occurrences(documents: DataFrame) -> DataFrame:
     """doc_id, text_key, line, id and its beginning id8 of each line that is not blank."""
+    C.bound_batches(documents.sparkSession)
     schema = C.schema_of(f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, text_key bigint, line int, id binary, id8 bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +148,8 @@ def occurrences(documents: DataFrame) -> DataFrame:
 
 
 def entries(documents: DataFrame, most: int) -> DataFrame:
-    """(bucket, id8, own) for the index (own) and the probes of each line; id8 is the beginning of its id."""
-    schema = C.schema_of("bucket bigint, id8 bigint, own boolean")
+    """(bucket, id8) for the index and the probes of each line; id8 is the beginning of its id, and the bucket's last bit is 0 for the index, so that it sorts first."""
+    schema = C.schema_of("bucket bigint, id8 bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -183,15 +184,16 @@ def entries(documents: DataFrame, most: int) -> DataFrame:
                 plans.clear()
             if ids:
                 id8 = np.repeat(np.frombuffer(b"".join(ids), dtype=np.int64), sizes)
-                yield C.to_batch({"bucket": np.array(bucket, dtype=np.uint64).view(np.int64), "id8": id8, "own": own}, out)
+                hashes = np.array(bucket, dtype=np.uint64) & ~np.uint64(1) | ~np.array(own)
+                yield C.to_batch({"bucket": hashes.view(np.int64), "id8": id8}, out)
 
     return documents.select("text").mapInArrow(run, schema)
 
 
 def _live(entries_: DataFrame) -> DataFrame:
     """The entries of buckets that hold an index entry and another line, without repeats; rows come sorted."""
-    schema = entries_.schema
-    parted = entries_.repartition("bucket").sortWithinPartitions("bucket", F.col("own").desc(), "id8")
+    schema = C.schema_of("bucket bigint, id8 bigint, own boolean")
+    parted = entries_.repartition(F.shiftright("bucket", 1)).sortWithinPartitions("bucket", "id8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = C.arrow_schema(schema)
@@ -200,7 +202,8 @@ def _live(entries_: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b, i, o = (C.column(batch, c).to_numpy(zero_copy_only=False) for c in ("bucket", "id8", "own"))
+            b, i = (C.column(batch, c).to_numpy() for c in ("bucket", "id8"))
+            b, o = b >> 1, (b & 1) == 0
             new = np.r_[True, b[1:] != b[:-1]]
             start = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))
             first_i, first_o = i[start], o[start]
@@ -294,9 +297,9 @@ def dropped(documents: DataFrame, most_edits: int = 2, broadcast_rows: int = 1_0
     lines = C.cut(occurrences(documents))
     firsts = C.cut(lines.groupBy("id", "id8").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.count("*").alias("n")))
     near = C.cut(near_dropped(documents, firsts.select("id", "id8", "first"), most_edits, broadcast_rows=broadcast_rows).withColumn("near", F.lit(True)))
-    judged = firsts.join(near, "id", "left").filter("n > 1 or near").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    is_first = F.col("l.doc_id").eqNullSafe(F.col("j.first.doc_id")) & (F.col("l.text_key") == F.col("j.first.text_key")) & (F.col("l.line") == F.col("j.first.line"))
-    gone = lines.alias("l").join(judged.alias("j"), F.col("l.id") == F.col("j.id")).filter(~is_first | F.col("near")).select("l.doc_id", "text_key", "line", (is_first & F.col("near")).alias("near")).distinct()
+    judged = firsts.join(near, "id", "left").filter("n > 1 or near").select("id", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("line") == F.col("first.line"))
+    gone = C.join_by_key(lines, judged, "id", F.xxhash64("doc_id", "text_key", "line")).filter("first is not null").filter(~is_first | F.col("near")).select("doc_id", "text_key", "line", (is_first & F.col("near")).alias("near")).distinct()
     pick = lambda k: F.array_sort(F.collect_set(F.when(F.col("near") if k else ~F.col("near"), F.col("line"))))  # noqa: E731  a document's own lines
     return gone.groupBy("doc_id", "text_key").agg(pick(False).alias("exact"), pick(True).alias("near"))
 
