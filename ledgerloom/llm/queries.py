@@ -23,4 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the others, tests compare with brute force."""
+    from ledgerloom.llm.sql import ORACLES
+
+    return dict(ORACLES)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from ledgerloom.llm import decontaminate, line_dedup, order_minhash
+from ledgerloom.llm.sql import ORACLES
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -45,6 +49,18 @@ def test_queries_run(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        p = f"{sf_dir}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*' if os.path.isdir(p) else p}'")
+    df = entry.queries()[name](spark, sf_dir)
+    want, cols = con.sql(entry.oracle_sql()[name]).to_arrow_table(), sorted(df.columns)
+    assert cols == sorted(want.schema.names)
+    assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(map(str, zip(*(want.column(c).to_pylist() for c in cols))))
+
+
 def test_names():
     assert [n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2].isdigit()] == [f"op{i}" for i in range(1, 11)]
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
