@@ -43,7 +43,8 @@ def tfidf(df: DataFrame, key: Sequence[str], entity: str, text: str = "text", le
     docs = df.select(*dict.fromkeys([*key, entity]), F.concat(*lists).alias("terms"))
     n_docs = docs.agg(F.count("*").alias("docs"))
     tf = docs.select(*dict.fromkeys([*key, entity]), F.explode("terms").alias("term")).groupBy(*dict.fromkeys([*key, entity]), "term").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"), F.count_distinct(entity).alias("entities"))
+    # Two plain aggregates instead of a distinct count, which would double the rows.
+    df_ = tf.groupBy("term", entity).agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("entities"))
     kept = df_.crossJoin(F.broadcast(n_docs)).filter((F.col("entities") >= least_entities) & (F.col("df") <= most_share * F.col("docs")))  # one row
     idf = F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1
     weighted = tf.join(kept.select("term", idf.alias("idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))

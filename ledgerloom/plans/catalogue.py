@@ -270,7 +270,7 @@ def tfidf_yoy_cosine(spark, d):
     docs = table(spark, d, "documents").select("source", "lang", "doc_id", "text")
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
     own = docs.select(F.concat_ws("-", "source", "lang").alias("ticker"), F.row_number().over(w).alias("fiscal_year"), "text")
-    weights = tf.tfidf(own, ["ticker", "fiscal_year"], "ticker", grams=1)
+    weights = tf.tfidf(own, ["ticker", "fiscal_year"], "ticker", grams=1).persist()  # read three times; on disk where memory ends
     return _rounded(tf.yearly_similarity(weights), ["ticker", "fiscal_year"], ["similarity", "delta"])
 
 
