@@ -4,11 +4,17 @@ A page is parsed once into elements and text blocks. Elements that by their kind
 are no article - menus, page headers and footers, sidebars, adverts, notices,
 forms, scripts, reader comments, hidden parts - are left out; so is everything
 outside the article or main element if the page has one. For what is left
-without such a mark, the site decides: each block-level subtree is hashed with
-its tags and text, Spark counts the hashes over the pages of a host (pages with
-equal html once), and subtrees that recur on at least ``min_pages`` pages and
-``share`` of that host's pages are deleted. Text in an explicit article or main
-element is never template: an article may quote a line that many others have.
+the site decides: each block-level subtree is hashed with its tags and text,
+Spark counts the hashes over the pages of a host (pages with equal html once),
+and subtrees that recur on at least ``min_pages`` pages and ``share`` of that
+host's pages are deleted. Inside an article or main element that holds for its
+div, section, list and other elements with parts, too; a single paragraph,
+heading, list item, cell or quotation there may be a line that many articles
+quote, and must recur on ``line_pages`` pages. There, pages with the same h1 in
+the article (without one, with equal article text) count once, so that the
+versions of an article do not make its text a template; where a site has one h1
+for all its articles, nothing recurs. The article and main elements themselves
+are never templates.
 
 Blocks: text between the borders of block-level elements, character references
 decoded, white space (line breaks and <br> too) turned into single spaces,
@@ -53,6 +59,8 @@ MARKS = frozenset(
     "pagination pager related recommended widget toolbar footer contentinfo complementary search form dialog alert skip".split()
 )
 OUTSIDE = frozenset("header masthead topbar banner".split())
+#: Single lines, which articles may share without a template.
+LINES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th tr".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS_P = BLOCK - frozenset(("td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"))
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
@@ -66,7 +74,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Page:
-    """Blocks of a page: (text, number of the block-level element around it; 0 in an article)."""
+    """Blocks of a page: (text, number of the block-level element around it)."""
 
     def __init__(self, html: str) -> None:
         self.blocks: list[tuple[str, int]] = []
@@ -74,6 +82,8 @@ class Page:
         self._parts: list[str] = []
         self._hash: list[int] = [0]
         self._parent: list[int] = [0]
+        self._tag: list[str] = ["#"]
+        self._within: list[bool] = [False]  # is the element inside an article, which it is not itself
         self._count: Counter[str] = Counter()  # open elements by tag
         # Open elements: (tag, number, left out, inside an article, pieces to hash)
         self._open: list[tuple[str, int, bool, bool, list[bytes]]] = [("#", 0, False, False, [])]
@@ -86,23 +96,38 @@ class Page:
             if inside or not self._has_article:
                 text = " ".join("".join(parts).split())
                 if text:
-                    self.blocks.append((text, 0 if inside else number))
+                    self.blocks.append((text, number))
 
-    def hashes(self) -> set[int]:
-        """Of the block-level subtrees that hold text outside an article."""
-        seen, out = {0}, set()
+    def _counts(self, n: int) -> bool:
+        """Whether the element may be a template: inside the article if the page has one, and no article itself."""
+        return n > 0 and (not self._has_article or (self._within[n] and self._tag[n] not in ("article", "main")))
+
+    def hashes(self) -> tuple[set[int], set[int]]:
+        """Of the block-level subtrees that hold text: those that recur on few pages as templates, and single lines of an article."""
+        seen, parts, lines = {0}, set(), set()
         for _, n in self.blocks:
             while n not in seen:
                 seen.add(n)
-                out.add(self._hash[n])
+                if self._counts(n):
+                    (lines if self._has_article and self._tag[n] in LINES else parts).add(self._hash[n])
                 n = self._parent[n]
-        return out
+        return parts, lines
+
+    def article_key(self) -> int | None:
+        """Hash of the article's first h1, or of its text; None on a page without article."""
+        import xxhash
+
+        if not self._has_article:
+            return None
+        name = next((t for t, n in self.blocks if self._tag[n] == "h1"), None)
+        text = "\n\n".join(t for t, _ in self.blocks) if name is None else name
+        return _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
     def without(self, templates: set[int] | frozenset[int]) -> list[str]:
         """Texts of the blocks around which no subtree is a template."""
         gone = [False] * len(self._hash)
         for n in range(1, len(gone)):  # parents have smaller numbers
-            gone[n] = gone[self._parent[n]] or self._hash[n] in templates
+            gone[n] = gone[self._parent[n]] or (self._hash[n] in templates and self._counts(n))
         return [t for t, n in self.blocks if not gone[n]]
 
     def _read(self, html: str) -> None:
@@ -175,6 +200,7 @@ class Page:
         if tag in VOID:
             return
         _, _, out, inside, _ = self._open[-1]
+        within = inside
         mark = ""
         if attributes:
             words: set[str] = set()
@@ -203,6 +229,8 @@ class Page:
             number = len(self._hash)
             self._hash.append(0)
             self._parent.append(self._around())
+            self._tag.append(tag)
+            self._within.append(within)
         self._count[tag] += 1
         self._open.append((tag, number, out, inside, [f"<{tag}{mark}>".encode()]))
 
@@ -246,7 +274,11 @@ class Page:
         h = xxhash.xxh3_64_intdigest(b"\x00".join(pieces))
         self._open[-1][4].append(h.to_bytes(8, "little"))
         if number:
-            self._hash[number] = h - (1 << 64) if h >= 1 << 63 else h
+            self._hash[number] = _signed(h)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -259,32 +291,45 @@ _HOST = "coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, page_key, hash of each block-level subtree that holds text without an article's mark; pages with equal html on a host once."""
+    """host, page_key, unit, hash, line of each block-level subtree that may be a template; pages with equal html on a host once.
+
+    unit is what counts once: the page, or its article if it has one; line: a single line of an article.
+    """
 
     def make():
         def run(batch):
-            found = [sorted(Page(t).hashes()) for t in C.texts(batch, "html")]
-            return {"host": C.column(batch, "host"), "page_key": C.column(batch, "page_key"), "hashes": found}
+            read = [Page(t) for t in C.texts(batch, "html")]
+            found = [p.hashes() for p in read]
+            return {
+                "host": C.column(batch, "host"), "page_key": C.column(batch, "page_key"), "article": [p.article_key() for p in read],
+                "parts": [sorted(x) for x, _ in found], "lines": [sorted(x) for _, x in found],
+            }
 
         return run
 
     keyed = pages.select(F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key"), "html")
-    found = C.map_batches(keyed, "host string, page_key bigint, hashes array<bigint>", make).filter("size(hashes) > 0")
-    return found.dropDuplicates(["host", "page_key"]).select("host", "page_key", F.explode("hashes").alias("hash"))
+    found = C.map_batches(keyed, "host string, page_key bigint, article bigint, parts array<bigint>, lines array<bigint>", make).filter("size(parts) + size(lines) > 0")
+    each = F.explode(F.expr("concat(transform(parts, h -> struct(h as hash, false as line)), transform(lines, h -> struct(h as hash, true as line)))"))
+    found = found.dropDuplicates(["host", "page_key"]).select("host", "page_key", F.coalesce("article", "page_key").alias("unit"), each.alias("s"))
+    return found.select("host", "page_key", "unit", "s.hash", "s.line")
 
 
-def templates(found: DataFrame, hosts: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """host, hash of the subtrees that recur."""
-    counts = found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(hosts, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")).select("host", "hash")
+def templates(found: DataFrame, hosts: DataFrame, min_pages: int, line_pages: int, share: float) -> DataFrame:
+    """host, hash, line of the subtrees that recur, with n, the number of their rows in found."""
+    units = found.groupBy("host", "hash", "line", "unit").agg(F.count("*").alias("rows"))  # a shuffle by unit, so no hot task
+    counts = units.groupBy("host", "hash", "line").agg(F.count("*").alias("units"), F.sum("rows").alias("n"))
+    counts = counts.filter(F.col("units") >= F.when(F.col("line"), line_pages).otherwise(min_pages))
+    return counts.join(hosts, "host").filter(F.col("units") >= F.lit(share) * F.col("pages")).select("host", "hash", "line", "n")
 
 
-def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.1, broadcast_rows: int = 1_000_000) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.1, broadcast_rows: int = 1_000_000, line_pages: int = 20) -> DataFrame:
     """page_id, url, text of each whole page."""
     found = C.cut(subtrees(pages))
     hosts = pages.select(F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    own = found.join(templates(found, hosts, min_pages, share), ["host", "hash"]).groupBy("host", "page_key").agg(F.collect_list("hash").alias("templates"))  # a page's own subtrees
-    own = C.cut(own)
+    key = F.unhex(F.md5(F.to_json(F.struct("host", "hash", "line")).cast("binary"))).alias("key")
+    recurring = C.cut(templates(found, hosts, min_pages, line_pages, share).select(key, "n", F.lit(True).alias("template")))
+    marked = C.join_by_key(found.select("host", "page_key", "hash", key), recurring, "key", F.xxhash64("host", "page_key", "hash")).filter("template")  # a template may be on every page of a hot host
+    own = C.cut(marked.groupBy("host", "page_key").agg(F.collect_list("hash").alias("templates")))  # a page's own subtrees
     keyed = pages.select("page_id", "url", "html", F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key"))
     joined = keyed.join(broadcast_if_small(own, broadcast_rows), ["host", "page_key"], "left").select("page_id", "url", "html", "templates")
     schema = C.schema_of(f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")

@@ -104,6 +104,19 @@ def test_site_templates_go(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.filter("false")).count() == 0
 
 
+def test_templates_inside_articles_go(spark):
+    """Parts that recur inside articles go; single lines only if many articles have them; versions of one article count once."""
+    box = "<div><p>Read more</p><ul><li>One</li></ul></div>"
+    rows = [(i, f"https://a.example/{i}", f"<main><article><h1>Head {i}</h1>{box}<p>Text {i}</p><p>Quoted.</p></article></main>") for i in range(6)]
+    rows += [(100 + i, f"https://b.example/{i}", f"<article><p>Story {i}</p><p>All rights reserved.</p></article>") for i in range(20)]
+    rows += [(200 + i, f"https://c.example/{i}", f"<article><h1>Same</h1><div><p>The text.</p></div><p>Read {i} times</p></article>") for i in range(9)]
+    rows += [(300 + i, f"https://d.example/{i}", f"<nav>{i}</nav><article><div><p>Whole text.</p></div></article>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got[3] == "Head 3\n\nText 3\n\nQuoted." and got[107] == "Story 7"
+    assert got[204] == "Same\n\nThe text.\n\nRead 4 times" and got[304] == "Whole text."
+
+
 # 8
 
 
