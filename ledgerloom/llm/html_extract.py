@@ -6,8 +6,8 @@ forms, scripts, reader comments, hidden parts - are left out; so is everything
 outside the article or main element if the page has one. For what is left
 the site decides: each block-level subtree is hashed with its tags and text,
 Spark counts the hashes over the pages of a host (pages with equal html once),
-and subtrees that recur on at least ``min_pages`` pages and ``share`` of that
-host's pages are deleted. Inside an article or main element that holds for its
+and subtrees that recur on at least ``min_pages`` pages are deleted, however many
+pages the host has: a section's own template goes on a large host, too. Inside an article or main element that holds for its
 div, section, list and other elements with parts, too; a single paragraph,
 heading, list item, cell or quotation there may be a line that many articles
 quote, and must recur on ``line_pages`` pages. There, pages with the same h1 in
@@ -314,20 +314,18 @@ def subtrees(pages: DataFrame) -> DataFrame:
     return found.select("host", "page_key", "unit", "s.hash", "s.line")
 
 
-def templates(found: DataFrame, hosts: DataFrame, min_pages: int, line_pages: int, share: float) -> DataFrame:
+def templates(found: DataFrame, min_pages: int, line_pages: int) -> DataFrame:
     """host, hash, line of the subtrees that recur, with n, the number of their rows in found."""
     units = found.groupBy("host", "hash", "line", "unit").agg(F.count("*").alias("rows"))  # a shuffle by unit, so no hot task
     counts = units.groupBy("host", "hash", "line").agg(F.count("*").alias("units"), F.sum("rows").alias("n"))
-    counts = counts.filter(F.col("units") >= F.when(F.col("line"), line_pages).otherwise(min_pages))
-    return counts.join(hosts, "host").filter(F.col("units") >= F.lit(share) * F.col("pages")).select("host", "hash", "line", "n")
+    return counts.filter(F.col("units") >= F.when(F.col("line"), line_pages).otherwise(min_pages)).select("host", "hash", "line", "n")
 
 
-def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.1, broadcast_rows: int = 1_000_000, line_pages: int = 20) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 1_000_000, line_pages: int = 20) -> DataFrame:
     """page_id, url, text of each whole page."""
     found = C.cut(subtrees(pages))
-    hosts = pages.select(F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
     key = F.unhex(F.md5(F.to_json(F.struct("host", "hash", "line")).cast("binary"))).alias("key")
-    recurring = C.cut(templates(found, hosts, min_pages, line_pages, share).select(key, "n", F.lit(True).alias("template")))
+    recurring = C.cut(templates(found, min_pages, line_pages).select(key, "n", F.lit(True).alias("template")))
     marked = C.join_by_key(found.select("host", "page_key", "hash", key), recurring, "key", F.xxhash64("host", "page_key", "hash")).filter("template")  # a template may be on every page of a hot host
     own = C.cut(marked.groupBy("host", "page_key").agg(F.collect_list("hash").alias("templates")))  # a page's own subtrees
     keyed = pages.select("page_id", "url", "html", F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key"))

@@ -117,6 +117,14 @@ def test_templates_inside_articles_go(spark):
     assert got[204] == "Same\n\nThe text.\n\nRead 4 times" and got[304] == "Whole text."
 
 
+def test_templates_of_sections_go_on_large_hosts(spark):
+    """A box on 6 of 200 pages of a host goes as it does on a small host; on 4 it stays."""
+    box = lambda i: "<div><p>Of the section</p></div>" if i < 6 else "<div><p>On few</p></div>" if i < 10 else ""
+    df = spark.createDataFrame([(i, f"https://a.example/{i}", f"{box(i)}<div><p>Text {i}</p></div>") for i in range(200)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert [got[i] for i in (2, 7, 150)] == ["Text 2", "On few\n\nText 7", "Text 150"]
+
+
 # 8
 
 
