@@ -36,13 +36,26 @@ def tone(df: DataFrame, dictionary: DataFrame, key: Sequence[str], text: str = "
     return out
 
 
-def tfidf(df: DataFrame, key: Sequence[str], entity: str, text: str = "text", least_entities: int = 5, most_share: float = 0.95, grams: int = 2) -> DataFrame:
-    """Key, term, weight: term frequency times smoothed idf, over 1- to ``grams``-grams in at least 5 entities and at most 95 % of documents, unit length."""
-    t = tokens(text)
-    lists = [t] + [F.when(F.size(t) >= g, F.transform(F.sequence(F.lit(1), F.size(t) - g + 1), lambda i, g=g: F.concat_ws(" ", F.slice(t, i, g)))).otherwise(F.array().cast("array<string>")) for g in range(2, grams + 1)]
-    docs = df.select(*dict.fromkeys([*key, entity]), F.concat(*lists).alias("terms"))
+def tfidf(df: DataFrame, key: Sequence[str], entity: str, text: str = "text", least_entities: int = 5, most_share: float = 0.95, grams: int = 2, stop_words: Sequence[str] = ()) -> DataFrame:
+    """Key, term, weight: term frequency times smoothed idf, over 1- to ``grams``-grams in at least 5 entities and at most 95 % of documents, unit length.
+
+    Stop words, in lower case, go before n-grams are formed. The reference names its lists but does not hold them; none go by default.
+    """
+    words = tokens(text)
+    if stop_words:
+        words = F.filter(words, lambda x: ~x.isin(*stop_words))
+    own = list(dict.fromkeys([*key, entity]))
+    split = df.select(*own, words.alias("__words"))  # a column: inside transform() the text would be split again for each n-gram
+    t = F.col("__words")
+
+    def runs(g: int) -> Column:
+        at = F.sequence(F.lit(1), F.size(t) - g + 1)
+        return F.when(F.size(t) >= g, F.transform(at, lambda i: F.concat_ws(" ", F.slice(t, i, g)))).otherwise(F.array().cast("array<string>"))
+
+    terms = F.concat(t, *(runs(g) for g in range(2, grams + 1))) if grams > 1 else t
+    docs = split.select(*own, terms.alias("terms"))
     n_docs = docs.agg(F.count("*").alias("docs"))
-    tf = docs.select(*dict.fromkeys([*key, entity]), F.explode("terms").alias("term")).groupBy(*dict.fromkeys([*key, entity]), "term").agg(F.count("*").alias("tf"))
+    tf = docs.select(*own, F.explode("terms").alias("term")).groupBy(*own, "term").agg(F.count("*").alias("tf"))
     # Two plain aggregates instead of a distinct count, which would double the rows.
     df_ = tf.groupBy("term", entity).agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("entities"))
     kept = df_.crossJoin(F.broadcast(n_docs)).filter((F.col("entities") >= least_entities) & (F.col("df") <= most_share * F.col("docs")))  # one row

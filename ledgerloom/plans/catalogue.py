@@ -265,15 +265,25 @@ def tone_ratio(spark, d):
     return _rounded(t, ["doc_id", "n_tokens"], ["negative_pct", "positive_pct", "uncertainty_pct", "litigious_pct", "risk_density", "net_tone"])
 
 
-def tfidf_yoy_cosine(spark, d):
+def _yoy_cosine(spark, d, grams):
     """Single documents as sections of firms: source and lang are the firm, one document a year."""
     docs = table(spark, d, "documents").select("source", "lang", "doc_id", "text")
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
     own = docs.select(F.concat_ws("-", "source", "lang").alias("ticker"), F.row_number().over(w).alias("fiscal_year"), "text")
-    weights = tf.tfidf(own, ["ticker", "fiscal_year"], "ticker", grams=1).persist()  # read three times; on disk where memory ends
+    weights = tf.tfidf(own, ["ticker", "fiscal_year"], "ticker", grams=grams).persist()  # read three times; on disk where memory ends
     return _rounded(tf.yearly_similarity(weights), ["ticker", "fiscal_year"], ["similarity", "delta"])
 
 
+def tfidf_yoy_cosine(spark, d):
+    """The part of X2 that its SQL covers: single words only."""
+    return _yoy_cosine(spark, d, 1)
+
+
+def tfidf_yoy_cosine_2grams(spark, d):
+    """1- and 2-grams."""
+    return _yoy_cosine(spark, d, 2)
+
+
 def divergence(spark, d):
     p = ops.add_changes(_ratios(spark, d), ["leverage", "roa"])
     out = tf.divergence(p, "d_leverage", "d_roa")
@@ -305,5 +315,5 @@ QUERIES = {f.__name__: f for f in (
     min_periods_tail_n, winsorize_pooled, fact_priority_resolution, amendment_precedence, fact_pivot_wide, dominant_tag, tag_lock, tag_distribution, event_window_volatility,
     sic_style_bucket_filter, fiscal_year_assign, universe_topn, resume_anti_join, distinct_keys, semi_join_keep, metadata_left_join, missing_census, describe_stats, pearson_matrix,
     fe_one_way_within, fe_two_way_clustered, stratified_sample, criterion_rates_wilson, overall_by_stratum, quality_ladder, wilson_intervals, response_parse, era_labels, word_counts,
-    clean_lines, repeated_short_lines, html_to_text, filing_sections, tone_ratio, tfidf_yoy_cosine, divergence, quartile_sort, block_turnover, q4_reliability,
+    clean_lines, repeated_short_lines, html_to_text, filing_sections, tone_ratio, tfidf_yoy_cosine, tfidf_yoy_cosine_2grams, divergence, quartile_sort, block_turnover, q4_reliability,
 )}
