@@ -29,7 +29,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), null_items=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ it always covers whole words. Hits are reported as word spans and mapped back to
 character offsets of the original text.
 
 Defined results: null and empty texts have no words and no hits; items without
-words never match; items with equal windows all count as occurring; repeated
+words never match; items with equal windows all count as occurring; windows of
+items without an id are hits that name no item with ``null_items``, as in the
+query and the pipeline, and left out without; repeated
 document rows each get their own row; other columns of either table are ignored.
 
 Scale: documents are never shuffled. Automata travel to the workers in blocks of
@@ -45,12 +47,12 @@ def windows_of(words: list[bytes], n: int) -> list[bytes]:
     return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
 
 
-def _pattern_blocks(rows: list[tuple[str, str]], n: int, block_chars: int) -> list[list[tuple[str, int, list[str]]]]:
+def _pattern_blocks(rows: list[tuple[str | None, str]], n: int, block_chars: int) -> list[list[tuple[str, int, list[str]]]]:
     """(window, number of words, item ids) in blocks of bounded size."""
     owners: dict[bytes, set[str]] = defaultdict(set)
     for item, text in rows:
         for w in windows_of(words_of(text), n):
-            owners[w].add(item)
+            owners[w].update(() if item is None else (item,))
     blocks: list[list[tuple[str, int, list[str]]]] = [[]]
     room = block_chars
     for w in sorted(owners):
@@ -82,7 +84,7 @@ def _original_offsets(text: str) -> list[tuple[int, int]]:
 _LOWER = {i: i + 32 for i in range(0x41, 0x5B)}
 
 
-def _publish(benchmark: DataFrame, n: int, block_chars: int) -> list[str]:
+def _publish(benchmark: DataFrame, n: int, block_chars: int, null_items: bool) -> list[str]:
     """Writes the pattern blocks into the shared folder; the paths.
 
     The benchmark's rows pass the driver in pieces of bounded size and go out as
@@ -93,7 +95,7 @@ def _publish(benchmark: DataFrame, n: int, block_chars: int) -> list[str]:
     fs.create_dir(base, recursive=True)
     paths: list[str] = []
 
-    def put(rows: list[tuple[str, str]]) -> None:
+    def put(rows: list[tuple[str | None, str]]) -> None:
         for block in _pattern_blocks(rows, n, block_chars):
             if block:
                 name = f"{len(paths):05d}.pickle"
@@ -103,7 +105,7 @@ def _publish(benchmark: DataFrame, n: int, block_chars: int) -> list[str]:
 
     rows, held = [], 0
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    for row in items.filter("item is not null").toLocalIterator(prefetchPartitions=True):
+    for row in (items if null_items else items.filter("item is not null")).toLocalIterator(prefetchPartitions=True):
         rows.append((row.item, row.text))
         held += len(row.text) * n
         if held > block_chars:
@@ -155,9 +157,9 @@ def _scanner(paths: list[str]):
     return scan_texts
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000, null_items: bool = False) -> DataFrame:
     """doc_id, n_words, hit_words (merged spans of word numbers), spans (the same in code points of the text), items."""
-    paths = _publish(benchmark, n, block_chars)
+    paths = _publish(benchmark, n, block_chars, null_items)
 
     def make():
         scan_texts = _scanner(paths)
@@ -179,9 +181,9 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: i
     return C.map_batches(documents.select("doc_id", "text"), f"doc_id {kind}, n_words bigint, hit_words {span}, spans {span}, items array<string>", make)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000, null_items: bool = False) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns, in one pass without a shuffle."""
-    paths = _publish(benchmark, n, block_chars)
+    paths = _publish(benchmark, n, block_chars, null_items)
 
     def make():
         scan_texts = _scanner(paths)
@@ -200,7 +202,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return digest(scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")))
+    return digest(scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), null_items=True))
 
 
 def brute_force(documents: list[tuple], benchmark: list[tuple], n: int = 10) -> list[tuple]:

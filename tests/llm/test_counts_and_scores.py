@@ -225,6 +225,21 @@ def test_decontamination_against_brute_force(spark):
     assert clean == sorted(str(w[0]) for w in decontaminate.brute_force(docs, [x for x in bench if x[0] is not None]) if not w[5])
 
 
+def test_windows_of_null_items_are_hits(spark, tmp_path):
+    """In the query and the pipeline: they hit, but name no item."""
+    import corpus_pipeline
+
+    docs, bench = [(1, "a w1 w2 b"), (2, "a w3 b"), (3, "a b")], [(None, "w1 w2"), (4, "w3"), (None, "w3")]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", bench, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    brute = {r[0]: r for r in decontaminate.brute_force(docs, bench)}
+    got = {r.doc_id: r for r in decontaminate.op6_decontaminate(spark, str(tmp_path)).collect()}
+    assert {k: (r.n_words, r.n_hit, r.contaminated) for k, r in got.items()} == {k: (r[1], r[2], r[5]) for k, r in brute.items()}
+    assert [got[k].n_items for k in (1, 2, 3)] == [0, 1, 0] and got[1].n_hit == 2
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    assert [r.doc_id for r in stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()] == [3]
+
+
 def test_decontamination_offsets_and_empty(spark):
     text = "Été: the QUICK brown-fox jumps! over it"
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
