@@ -133,8 +133,10 @@ def search(
     spark = embeddings.sparkSession
     rows = _valid(embeddings, id_col, vec_col).withColumn("vh", F.unhex(F.md5(F.to_json(F.struct("v")).cast("binary"))))
     # Of equal vectors the k + 1 smallest ids; Spark limits them before the shuffle. row 1 stands for all on the curves.
-    ranked = rows.select("vec_id", "vh", "v").withColumn("m", F.row_number().over(Window.partitionBy("vh").orderBy("vec_id")))
-    members = C.cut(ranked.filter(F.col("m") <= 2 * k + 2).dropDuplicates(["vh", "vec_id"]))
+    # Repeated rows go first: they would take the places of other ids.
+    once = rows.groupBy("vh", "vec_id").agg(F.first("v").alias("v"))
+    ranked = once.withColumn("m", F.row_number().over(Window.partitionBy("vh").orderBy("vec_id")))
+    members = C.cut(ranked.filter(F.col("m") <= k + 1))
     queries = C.cut(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vh", "v").dropDuplicates(["vh", "vec_id"]))
     data = members.filter("m = 1").select(F.col("vec_id").alias("rep"), "v")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -60,6 +60,14 @@ def test_search(spark):
     assert max(map(len, ties)) > 5 and all(t == sorted(frequent)[: len(t)] or t == sorted(frequent - {i})[: len(t)] for i, t in zip(got, ties))
 
 
+def test_repeated_rows_of_equal_vectors_take_no_place(spark):
+    """Row 0 repeats 50 times; the other ids with its vector are still its nearest."""
+    rows = [(0, [1.0, 0.0])] * 50 + [(i, [1.0, 0.0]) for i in range(1, 31)] * 3 + [(100 + i, [0.0, 1.0 + i]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in neighbours.search(df).filter("query_id = 0").orderBy("rank").collect()]
+    assert got == list(range(1, 21))
+
+
 def test_search_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(df).orderBy("query_id", "rank").collect()]
