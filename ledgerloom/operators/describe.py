@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.statistics import pearson_p
+from ledgerloom.operators.quantiles import exact_quantiles
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row for each column: n, mean, std, p25, p50, p75; one pass over the selected columns."""
+_SHARES = [0.25, 0.5, 0.75]
+
+
+def describe(df: DataFrame, columns: Sequence[str], any_size: bool = False) -> DataFrame:
+    """A row for each column: n, mean, std, p25, p50, p75; one pass over the selected columns.
+
+    Exact percentiles keep a count for each distinct value in one task; with
+    ``any_size`` narrowing brackets find them instead, in a few more passes.
+    """
+    found = exact_quantiles(df, columns, _SHARES) if any_size else None
     aggs = []
     for c in columns:
-        aggs.append(F.struct(
-            F.lit(c).alias("variable"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"),
-        ).alias(f"__{c}"))
-    return df.select(*columns).agg(*aggs).select(F.explode(F.array(*(f"__{c}" for c in columns))).alias("x")).select("x.*")
+        p = F.array(*(F.lit(x).cast("double") for x in found[c])) if found else F.percentile(c, _SHARES)
+        aggs.append(F.struct(F.lit(c).alias("variable"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), p.alias("p")).alias(f"__{c}"))
+    one = df.select(*columns).agg(*aggs).select(F.explode(F.array(*(f"__{c}" for c in columns))).alias("x"))
+    return one.select("x.variable", "x.n", "x.mean", "x.std", *(F.col("x.p")[k].alias(f"p{round(100 * s)}") for k, s in enumerate(_SHARES)))
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

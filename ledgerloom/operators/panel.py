@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import EQUIVALENT, RATIOS, TAGS
 from ledgerloom.functions import columns as P
+from ledgerloom.operators.quantiles import exact_quantiles
 
 
 def _by(entity: str, *order: str | Column) -> Window:
@@ -156,46 +157,18 @@ def winsorize(df: DataFrame, columns: Sequence[str] = RATIOS, low: float = 0.01,
     """C4: clips at exact pooled quantiles of all rows; NULL stays NULL.
 
     One aggregate over the selected columns gives all bounds, one row that is
-    broadcast back. Exact percentiles keep a count for each distinct value: for
-    columns with more distinct values than a task can hold use winsorize_sorted.
+    broadcast back. Exact percentiles keep a count for each distinct value in one
+    task: for columns beyond that use winsorize_sorted, which has the same bounds.
     """
     bounds = df.agg(*(F.percentile(c, [low, high]).alias(f"__{c}") for c in columns))
     wide = df.crossJoin(F.broadcast(bounds))  # one row
     return wide.withColumns({c: P.clip(c, F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
-def quantile_exact(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
-    """Interpolated quantiles without gathering values: a range-partitioned sort, counts of its partitions, and the few rows at the wanted ranks."""
-    import math
-
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    ordered = values.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    counts = sorted((r.part, r.n, r.first) for r in ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect())
-    total = sum(n for _, n, _ in counts)
-    if not total:
-        return [None] * len(shares)
-    wanted = sorted({r for s in shares for r in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))})
-    ids, before, k = {}, 0, 0
-    for _, n, first in counts:
-        while k < len(wanted) and wanted[k] < before + n:
-            ids[first + wanted[k] - before] = wanted[k]
-            k += 1
-        before += n
-    found = {ids[r["at"]]: r["v"] for r in ordered.filter(F.col("at").isin(*ids)).collect()}
-    out = []
-    for s in shares:
-        lo, hi = math.floor(s * (total - 1)), math.ceil(s * (total - 1))
-        out.append(found[lo] + (found[hi] - found[lo]) * (s * (total - 1) - lo))
-    return out
-
-
 def winsorize_sorted(df: DataFrame, columns: Sequence[str] = RATIOS, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """C4 for columns with any number of distinct values; the same bounds as winsorize."""
-    for c in columns:
-        lo, hi = quantile_exact(df, c, [low, high])
-        if lo is not None:
-            df = df.withColumn(c, P.clip(c, F.lit(lo), F.lit(hi)))
-    return df
+    bounds = exact_quantiles(df, columns, [low, high])
+    return df.withColumns({c: P.clip(c, F.lit(lo), F.lit(hi)) for c, (lo, hi) in bounds.items() if lo is not None})
 
 
 def census(df: DataFrame, columns: Sequence[str], entity: str = "ticker") -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import panel as ops
+from ledgerloom.operators.quantiles import exact_quantiles
 
 
 def _days(df, *cols):
@@ -59,7 +60,7 @@ def test_c1_against_a_model(spark):
             rows.append((f"t{t}", day, date(day.year, 1 + r.randint(0, 1) * 6, 1), r.choice((None, 1.0))))
     df = spark.createDataFrame(rows, "ticker string, year_end date, filing_date date, net_income double")
     model = pd.DataFrame(rows, columns=["ticker", "year_end", "filing_date", "net_income"]).astype(object)
-    model["net_income"] = [x[3] for x in rows]
+    model["net_income"] = pd.Series([x[3] for x in rows], dtype=object)  # None stays None
     assert sorted((x.ticker, x.year_end) for x in ops.filter_transitions_and_duplicates(df).collect()) == _model_c1(model)
 
 
@@ -93,10 +94,23 @@ def test_sorted_quantiles_equal_percentiles(spark):
     vals = [r.choice((None, r.gauss(0, 1), 1.0)) for _ in range(500)]
     df = spark.createDataFrame([(v,) for v in vals], "a double").repartition(7)
     have = np.array([v for v in vals if v is not None])
-    assert ops.quantile_exact(df, "a", [0.0, 0.01, 0.5, 0.99, 1.0]) == pytest.approx(np.quantile(have, [0.0, 0.01, 0.5, 0.99, 1.0]))
-    assert ops.quantile_exact(df.filter("a > 99"), "a", [0.5]) == [None]
-    left = {round(x.a, 9) for x in ops.winsorize(df, ["a"]).dropna().collect()}
-    assert left == {round(x.a, 9) for x in ops.winsorize_sorted(df, ["a"]).dropna().collect()}
+    for fetch in (100_000, 3):
+        assert exact_quantiles(df, ["a"], [0.0, 0.01, 0.5, 0.99, 1.0], fetch)["a"] == pytest.approx(np.quantile(have, [0.0, 0.01, 0.5, 0.99, 1.0]))
+    assert exact_quantiles(df.filter("a > 99"), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_exact_quantiles_of_many_rows(spark):
+    """A million rows in 8 partitions, ties and a half of equal values among them."""
+    df = spark.range(0, 1_000_000, 1, 8).select(
+        F.hash("id").cast("double").alias("a"), (F.hash("id") % 50).cast("double").alias("b"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.hash("id") / 7).alias("c"), F.when(F.col("id") % 3 > 0, F.col("id") * 1.5).alias("d")
+    )
+    shares = [0.0, 0.01, 0.5, 0.99, 1.0]
+    values = df.toPandas()
+    found = exact_quantiles(df, list("abcd"), shares, fetch=3000)
+    for c in "abcd":
+        assert found[c] == pytest.approx(values[c].quantile(shares).tolist())
+    clipped = ops.winsorize_sorted(df.select("a", "d"), ["a", "d"]).agg(F.sum("a"), F.sum("d")).first()
+    assert list(clipped) == [pytest.approx(values[c].clip(*values[c].quantile([0.01, 0.99])).sum()) for c in "ad"]
 
 
 def test_coverage_bounds(spark):

@@ -60,6 +60,7 @@ def test_describe_and_correlations(spark):
     df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in pdf.values], "a double, b double, c double")
     d = {r.variable: r for r in describe.describe(df, ["a", "b"]).collect()}
     assert d["b"].n == pdf.b.count() and d["b"].p25 == pytest.approx(pdf.b.quantile(0.25)) and d["a"].std == pytest.approx(pdf.a.std())
+    assert [tuple(r) for r in describe.describe(df, ["a", "b"], any_size=True).collect()] == [pytest.approx(tuple(d[k])) for k in "ab"]
     c = {(r.variable, r.other): r for r in describe.correlations_with_p(df, list("abc")).collect()}
     assert c["b", "a"].r == pytest.approx(pdf.dropna().corr().loc["a", "b"]) and c["b", "a"].p < 1e-6 < c["c", "a"].p
     assert "1.00" in render.correlation_table(describe.correlations_with_p(df, list("abc")), {k: k for k in "abc"})
