@@ -166,25 +166,27 @@ def by_group(df: DataFrame, keys: list[str], ddl: str | T.StructType, make: Call
     return marked.mapInArrow(run, schema)
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, spread: Column, n: str = "n", parts: int = 100_000) -> DataFrame:
-    """Left join with a table of one row for each key (binary), some of which may be very frequent on the left.
+def join_by_key(left: DataFrame, right: DataFrame, key: str, spread: Column, n: str = "n", parts: int = 100_000, floor: int = 1000, total: int | None = None) -> DataFrame:
+    """Left join with a table of one row for each key (binary or long), some of which may be very frequent on the left.
 
-    right holds the key, n (its rows on the left) and further columns. Keys with
-    more than one in ``parts`` of the rows are fewer than ``parts``, which bounds
-    their broadcast; their rows then move under hashes of ``spread``, so the
+    right holds the key, n (its rows on the left) and further columns; total is
+    the sum of n or an upper bound of it, found if not given. Keys with more than ``floor`` and more than
+    one in ``parts`` of the rows are at most ``parts`` and total / floor, which bounds
+    their broadcast; their rows then move under the hash ``spread``, so the
     shuffle that joins all other keys has no hot one. Null keys match nothing.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
-    limit = max(1000, total // parts)
+    if total is None:
+        total = right.agg(F.sum(n)).first()[0] or 0
+    limit = max(floor, total // parts)
     cols = [c for c in right.columns if c not in (key, n)]
     hot = right.filter(F.col(n) > limit).select(F.col(key).alias("__hot"), F.struct(*cols).alias("__a"))
     rest = right.filter(F.col(n) <= limit).select(F.col(key).alias("__rest"), F.struct(*cols).alias("__b"))
     out = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    own = F.unhex(F.md5(spread.cast("string").cast("binary")))
+    own = F.unhex(F.md5(spread.cast("string").cast("binary"))) if dict(left.dtypes)[key] == "binary" else spread
     out = out.withColumn("__k", F.when(F.col("__hot").isNotNull(), own).otherwise(F.coalesce(F.col(key), own)))
     out = out.join(rest, F.col("__k") == F.col("__rest"), "left")
     # A spread key may, by chance, equal a real one: what the broadcast found comes first, and null keys get nothing.
-    got = F.when(F.col(key).isNotNull(), F.coalesce("__a", "__b"))
+    got = F.when(F.col("__hot").isNotNull(), F.col("__a")).when(F.col(key).isNotNull(), F.col("__b"))
     return out.select(*left.columns, *(got[c].alias(c) for c in cols))
 
 

@@ -13,19 +13,24 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Each round takes the smallest label among neighbours and then the label of
     that label, so paths halve. Labels are cut in the shared folder each round.
-    The links of a much-linked vertex are only ever joined or aggregated with
-    map-side minima, never gathered. Only a count of changes reaches the driver.
+    Minima combine before they are shuffled; where labels meet the links of a
+    much-linked vertex, or the members of a large component, these rows are
+    joined apart and stay spread (common.join_by_key). Only counts reach the driver.
     """
     both = C.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("c"))
-    labels = C.cut(labels)
+    labels = C.cut(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.least("a", "b").alias("c"), "n"))
+    total, vertices = both.count(), labels.count()
+    if not total:
+        return labels.select("v", "c")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n")).withColumnRenamed("a", "v")
-        nearer = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
-        jump = nearer.select(F.col("v").alias("c"), F.col("c").alias("j"))
-        labels_now = C.cut(nearer.join(jump, "c").select("v", "old", F.least("c", "j").alias("c")))
-        changed = labels_now.filter("c <> old").limit(1).count()
-        labels = labels_now.select("v", "c")
+        ends = labels.select(F.col("v").alias("b"), "n", "c")
+        near = C.join_by_key(both, ends, "b", F.xxhash64("a", "b"), floor=64, total=total).groupBy("a").agg(F.min("c").alias("least")).withColumnRenamed("a", "v")
+        nearer = C.cut(labels.join(near, "v").select("v", "n", F.col("c").alias("old"), F.least("c", "least").alias("c")))
+        sizes = nearer.groupBy("c").agg(F.count("*").alias("n"))
+        jump = nearer.select(F.col("v").alias("c"), F.col("c").alias("j")).join(sizes, "c")
+        now = C.cut(C.join_by_key(nearer, jump, "c", F.xxhash64("v"), floor=64, total=vertices).select("v", "n", "old", F.least("c", F.coalesce("j", "c")).alias("c")))
+        changed = now.filter("c <> old").limit(1).count()
+        labels = now.select("v", "c", "n")
         if not changed:
-            return labels
+            return labels.select("v", "c")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

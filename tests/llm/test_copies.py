@@ -48,17 +48,34 @@ def test_alignment_against_dynamic_programming():
 
 def test_sketches_keep_order():
     words = [f"w{i}" for i in range(200)]
-    seq = lambda w: O.kmers(O.word_hashes(w, O.Hashes()))
+    hashes = lambda w: O.word_hashes(w, O.Hashes())
     seeds = O.seeds_of(40)
-    same = O.bands_of(seq(words), seeds, 2)
-    assert (same == O.bands_of(seq(list(words)), seeds, 2)).all()
+    same = O.buckets_of(hashes(words), seeds)
+    assert (same == O.buckets_of(hashes(list(words)), seeds)).all() and len(same) == 40
     turned = words[100:] + words[:100]  # nearly the same set of k-mers in another order
-    assert (same == O.bands_of(seq(turned), seeds, 2)).sum() < 10
-    assert len(O.kmers(O.word_hashes(["a", "b"], O.Hashes()))) == 1 and len(O.kmers(O.word_hashes([], O.Hashes()))) == 0
-    repeated = seq(["x"] * 30)
+    assert (same == O.buckets_of(hashes(turned), seeds)).sum() < 20
+    assert [len(O.buckets_of(hashes(words[:n]), seeds)) for n in (1, 4, 51, 52, 63, 64)] == [40, 40, 40, 80, 80, 40]
+    assert len(O.kmers(hashes(["a", "b"]))) == 1 and len(O.kmers(hashes([]))) == 0
+    repeated = hashes(["x"] * 30)
     assert len(set(O.labelled(repeated).tolist())) == len(repeated)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(20, 5), (50, 6), (60, 10), (120, 3), (120, 10), (300, 1), (300, 10), (600, 5), (3000, 10)])
+def test_recall_of_changed_words(n, percent):
+    """Texts with so many words changed: the alignment accepts them and the sketches find them."""
+    r, cache, seeds = random.Random(n), O.Hashes(), O.seeds_of(48)
+    found = 0
+    for _ in range(60):
+        a = [f"w{r.randrange(50_000)}" for _ in range(n)]
+        b = list(a)
+        for k in r.sample(range(n), n * percent // 100):
+            b[k] = f"w{r.randrange(50_000)}"
+        x, y = O.word_hashes(a, cache), O.word_hashes(b, cache)
+        assert O.near(x.tolist(), y.tolist())
+        found += bool(set(O.buckets_of(x, seeds).tolist()) & set(O.buckets_of(y, seeds).tolist()))
+    assert found >= 54
+
+
 def _copies() -> list[tuple]:
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
@@ -67,48 +84,61 @@ def _copies() -> list[tuple]:
         base = [word() for _ in range(r.choice((3, 5, 8, 60, 120)))]
         for _ in range(r.randint(1, 9)):
             copy = list(base)
-            for _ in range(r.randint(0, 3) if len(base) > 8 else 0):
+            for _ in range(r.randint(0, 7) if len(base) > 8 else 0):
                 copy[r.randrange(len(copy))] = word()
             docs.append((i, " ".join(copy).upper() if r.random() < 0.2 else " ".join(copy)))
             i += 1
     r.shuffle(docs)
-    return docs + [(500, None), (501, ""), (502, "..."), (None, docs[0][1]), docs[1], (503, "x y " * 9000)]
+    lost = [word() for _ in range(80)]  # a class without ids
+    return docs + [(500, None), (501, ""), (502, "..."), (None, docs[0][1]), docs[1], docs[1], (503, "x y " * 9000), (None, " ".join(lost)), (None, " ".join([*lost[:-3], "end"]))]
+
+
+def _classes(docs: list[tuple]) -> list[int]:
+    """For each row the first row of its class, comparing all pairs."""
+    seqs = [O._sequences([t or ""], O.Hashes())[0].tolist() for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if seqs[i] and O.near(seqs[i], seqs[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(docs))]
 
 
 def test_near_classes_against_all_pairs(spark):
     docs = _copies()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("class_id", F.lit(1)).withColumn("key", F.lit("k")).repartition(4)
+    root = _classes(docs)
+    names: dict = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            names[root[i]] = min(d, names.get(root[i], d))
+    want = sorted(str((d, names.get(root[i]))) for i, (d, _) in enumerate(docs))
     for options in ({}, {"block": 2, "broadcast_rows": 0}):
         got = O.near_classes(df, **options).collect()
-        seqs = [O._sequences([t or ""], O.Hashes())[0].tolist() for _, t in docs]
-        root = list(range(len(docs)))
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for i in range(len(docs)):
-            for j in range(i):
-                if seqs[i] and O.near(seqs[i], seqs[j]):
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-        names: dict = {}
-        for i, (d, _) in enumerate(docs):
-            if d is not None:
-                names[find(i)] = min(d, names.get(find(i), d))
-        want = sorted(str((d, names.get(find(i)) if seqs[i] else d)) for i, (d, _) in enumerate(docs))
         assert sorted(str((r.doc_id, r.class_id)) for r in got) == want
 
 
 def test_dedup_keeps_one_of_each_class(spark):
     docs = _copies()
     df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, kept int")
-    classes = {r.doc_id: r.class_id for r in O.near_classes(df).collect()}
+    root = _classes(docs)
     left = O.dedup(df)
     assert left.columns == df.columns
-    kept = [r.doc_id for r in left.collect()]
-    assert set(kept) == {d for d, c in classes.items() if d == c and d is not None}
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    # One row of each class, those of the rows without words apart; with the smallest id where there is one.
+    assert len(kept) == len(set(root)) and sum(d is None for d, _ in kept) == 1
+    ids = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            ids[root[i]] = min(d, ids.get(root[i], d))
+    assert sorted(d for d, _ in kept if d is not None) == sorted(ids.values())
     assert O.near_classes(df.filter("false")).count() == 0 and O.dedup(df.filter("false")).count() == 0
 
 
