@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common as C
@@ -19,18 +19,25 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     both = C.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = C.cut(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.least("a", "b").alias("c"), "n"))
-    total, vertices = both.count(), labels.count()
-    if not total:
+    found = labels.agg(F.sum("n"), F.max("n"), F.count("*")).first()
+    if not found[2]:
         return labels.select("v", "c")
     for _ in range(most_rounds):
         ends = labels.select(F.col("v").alias("b"), "n", "c")
-        near = C.join_by_key(both, ends, "b", F.xxhash64("a", "b"), floor=64, total=total).groupBy("a").agg(F.min("c").alias("least")).withColumnRenamed("a", "v")
+        near = _meet(both, ends, "b", F.xxhash64("a", "b"), found[0], found[1]).groupBy("a").agg(F.min("c").alias("least")).withColumnRenamed("a", "v")
         nearer = C.cut(labels.join(near, "v").select("v", "n", F.col("c").alias("old"), F.least("c", "least").alias("c")))
         sizes = nearer.groupBy("c").agg(F.count("*").alias("n"))
         jump = nearer.select(F.col("v").alias("c"), F.col("c").alias("j")).join(sizes, "c")
-        now = C.cut(C.join_by_key(nearer, jump, "c", F.xxhash64("v"), floor=64, total=vertices).select("v", "n", "old", F.least("c", F.coalesce("j", "c")).alias("c")))
-        changed = now.filter("c <> old").limit(1).count()
-        labels = now.select("v", "c", "n")
-        if not changed:
+        jumped = _meet(nearer, jump, "c", F.xxhash64("v"), found[2], sizes.agg(F.max("n")).first()[0])
+        labels = C.cut(jumped.select("v", F.least("c", F.coalesce("j", "c")).alias("c"), "n", "old"))
+        if not labels.filter("c <> old").limit(1).count():
             return labels.select("v", "c")
+        labels = labels.drop("old")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _meet(left: DataFrame, right: DataFrame, key: str, spread: Column, total: int, most: int, floor: int = 64) -> DataFrame:
+    """common.join_by_key; a plain join where no key has more than ``floor`` rows."""
+    if most > floor:
+        return C.join_by_key(left, right, key, spread, floor=floor, total=total)
+    return left.join(right.drop("n"), key)

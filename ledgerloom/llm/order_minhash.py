@@ -320,13 +320,13 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
     hubs = placed.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub"), F.count("*").alias("n"))
     found = C.join_by_key(placed, hubs, "bucket", F.xxhash64("key"), floor=64, total=n_members).filter("hub.key <> key")
     met = found.groupBy("key", "hub").agg(F.count("*").alias("n"))
-    first = C.cut(met.groupBy("key").agg(F.max(F.struct("n", "hub")).getField("hub").getField("key").alias("hub")))
-    followers = first.groupBy("hub").agg(F.count("*").alias("n"))
-    parts = C.join_by_key(first, followers.withColumn("parts", F.ceil(F.col("n") / block).cast("int")), "hub", F.xxhash64("key"), floor=64, total=n_members)
-    paired = parts.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).join(texts.select("key", "text"), "key")
-    hub_texts = followers.join(texts.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    hub_texts = hub_texts.select("hub", "hub_text", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("part"))
-    paired = paired.join(hub_texts, ["hub", "part"])
+    first = met.groupBy("key").agg(F.max(F.struct("n", "hub")).getField("hub").alias("hub")).select("key", "hub.*").toDF("key", "degree", "hub")
+    # A hub has at most so many followers as its degree; they meet its text in parts.
+    parts = F.ceil(F.col("degree") / (8 * block)).cast("int")
+    first = C.cut(first.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")))
+    paired = first.select("key", "hub", "part").join(texts.select("key", "text"), "key")
+    hub_texts = first.select("hub", "degree").distinct().join(texts.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    paired = paired.join(hub_texts.select("hub", "hub_text", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["hub", "part"])
 
     def compare(batches):
         cache = Hashes()
