@@ -1,20 +1,27 @@
 """HTML extraction (operator 7): site template removal.
 
-A page is parsed once into elements and text blocks. Elements that by their kind
-are no article - menus, page headers and footers, sidebars, adverts, notices,
-forms, scripts, reader comments, hidden parts - are left out; so is everything
-outside the article or main element if the page has one. For what is left
-the site decides: each block-level subtree is hashed with its tags and text,
-Spark counts the hashes over the pages of a host (pages with equal html once),
-and subtrees that recur on at least ``min_pages`` pages are deleted, however many
-pages the host has: a section's own template goes on a large host, too. Inside an article or main element that holds for its
-div, section, list and other elements with parts, too; a single paragraph,
-heading, list item, cell or quotation there may be a line that many articles
-quote, and must recur on ``line_pages`` pages. There, pages with the same h1 in
-the article (without one, with equal article text) count once, so that the
-versions of an article do not make its text a template; where a site has one h1
-for all its articles, nothing recurs. The article and main elements themselves
-are never templates.
+A page is parsed once into elements and text blocks. Every block-level subtree
+that holds text - of menus, footers and sidebars as of the article - is hashed
+with its tags and text, Spark counts the hashes over the pages of a host (pages
+with equal html once), and subtrees that recur on at least ``min_pages`` pages are
+deleted, however many pages the host has: a section's own template goes on a large
+host, too. Inside an article or main element that holds for div, section, list
+and other elements with parts; a single paragraph, heading, list item, cell or
+quotation there may be a line that many articles quote, and must recur on
+``line_pages`` pages. There, and on pages without such an element, pages with the
+same h1 (without one, with equal text) count once, so that the versions of an
+article do not make its text a template; where a site has one h1 for all its
+articles, nothing inside them recurs. The html, body, article and main elements
+themselves are never templates.
+
+What stands on few pages of its host cannot be counted. There the elements decide
+whose kind the contract names: nav, header and footer of the page, aside, form,
+script and the like, hidden parts, and elements one of whose class, id or role
+names says so: a name does if it consists of such a word (``MARKS``), alone or
+with words of layout (``LAYOUT``): "cookie-banner" or "share-buttons", but not
+"share-prices". Of the blocks left, those inside article or main elements are the
+text if they hold at least half of its characters, else all blocks are: an article
+element may be a teaser beside the text.
 
 Blocks: text between the borders of block-level elements, character references
 decoded, white space (line breaks and <br> too) turned into single spaces,
@@ -32,6 +39,7 @@ hold template subtrees.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -52,13 +60,20 @@ BLOCK = frozenset(
 )
 #: Elements whose text is never article text.
 NEVER = frozenset("head script style template noscript svg math iframe object embed canvas audio video nav aside footer form button select option datalist input textarea label dialog menu search title".split())
-#: Words of class, id and role that mark such elements; and those that do so only outside an article.
+#: Words that name such elements in class, id and role; and words of layout that may stand beside them.
 MARKS = frozenset(
     "nav navbar navigation menu sidebar aside ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored cookie cookies consent gdpr notice notices "
-    "popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond share sharing social breadcrumb breadcrumbs "
-    "pagination pager related recommended widget toolbar footer contentinfo complementary search form dialog alert skip".split()
+    "popup modal newsletter subscribe subscription signup login comment comments commentlist disqus reply replies share sharing breadcrumb breadcrumbs "
+    "pagination pager related recommended toolbar footer contentinfo complementary search form dialog".split()
 )
-OUTSIDE = frozenset("header masthead topbar banner".split())
+LAYOUT = frozenset(
+    "site main top bottom left right side upper lower inner outer primary secondary global local page post posts article articles blog content social box bar block button buttons list links link "
+    "item items container wrapper wrap widget section area row col column panel group holder slot unit text header head body title overlay the my js is has mobile desktop sticky fixed".split()
+)
+OUTSIDE = frozenset("header masthead topbar".split())
+#: What marks an article element as none; elements that are never templates.
+ARTICLES = frozenset("comment comments reply ad ads advert sponsored promo".split())
+WHOLE = frozenset("html body article main".split())
 #: Single lines, which articles may share without a template.
 LINES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th tr".split())
 #: A start tag of the first kind ends an open element of the second.
@@ -73,13 +88,22 @@ _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@functools.lru_cache(10_000)
+def marked(names: str) -> bool:
+    """Whether a name of class, id or role says that its element is no article text."""
+    for name in names.split():
+        words = set(_WORDS.findall(name))
+        if words & MARKS and words <= MARKS | LAYOUT:
+            return True
+    return False
+
+
 class Page:
-    """Blocks of a page: (text, number of the block-level element around it)."""
+    """Blocks of a page, (text, number of the block-level element around it, inside an article, left out by its kind), and the hashes of its elements."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[str, int]] = []
-        self._raw_blocks: list[tuple[list[str], int, bool]] = []
-        self._parts: list[str] = []
+        self.blocks: list[tuple[str, int, bool, bool]] = []
+        self._parts: tuple[list[str], list[str]] = ([], [])  # of the open block: text that counts, text left out
         self._hash: list[int] = [0]
         self._parent: list[int] = [0]
         self._tag: list[str] = ["#"]
@@ -92,43 +116,39 @@ class Page:
         self._border()
         while len(self._open) > 1:
             self._close()
-        for parts, number, inside in self._raw_blocks:
-            if inside or not self._has_article:
-                text = " ".join("".join(parts).split())
-                if text:
-                    self.blocks.append((text, number))
-
-    def _counts(self, n: int) -> bool:
-        """Whether the element may be a template: inside the article if the page has one, and no article itself."""
-        return n > 0 and (not self._has_article or (self._within[n] and self._tag[n] not in ("article", "main")))
 
-    def hashes(self) -> tuple[set[int], set[int]]:
-        """Of the block-level subtrees that hold text: those that recur on few pages as templates, and single lines of an article."""
-        seen, parts, lines = {0}, set(), set()
-        for _, n in self.blocks:
+    def hashes(self) -> tuple[set[int], set[int], set[int]]:
+        """Of the block-level subtrees that hold text: those outside an article of a page that has one, parts, and single lines of an article."""
+        seen, outer, parts, lines = {0}, set(), set(), set()
+        for _, n, _, _ in self.blocks:
             while n not in seen:
                 seen.add(n)
-                if self._counts(n):
-                    (lines if self._has_article and self._tag[n] in LINES else parts).add(self._hash[n])
+                if self._tag[n] not in WHOLE:
+                    own = outer if self._has_article and not self._within[n] else lines if self._has_article and self._tag[n] in LINES else parts
+                    own.add(self._hash[n])
                 n = self._parent[n]
-        return parts, lines
+        return outer, parts, lines
 
-    def article_key(self) -> int | None:
-        """Hash of the article's first h1, or of its text; None on a page without article."""
+    def key(self) -> int:
+        """Hash of the article's, or the page's, first h1; of the text where there is none."""
         import xxhash
 
-        if not self._has_article:
-            return None
-        name = next((t for t, n in self.blocks if self._tag[n] == "h1"), None)
-        text = "\n\n".join(t for t, _ in self.blocks) if name is None else name
+        own = [(t, n) for t, n, inside, out in self.blocks if not out and (inside or not self._has_article)]
+        name = next((t for t, n in own if self._tag[n] == "h1"), None)
+        text = "\n\n".join(t for t, _ in own) if name is None else name
         return _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
-    def without(self, templates: set[int] | frozenset[int]) -> list[str]:
-        """Texts of the blocks around which no subtree is a template."""
+    def without(self, templates: set[int] | frozenset[int]) -> tuple[list[str], int]:
+        """Texts of the main text's blocks around which no subtree is a template, and the number of blocks of the page in templates."""
         gone = [False] * len(self._hash)
-        for n in range(1, len(gone)):  # parents have smaller numbers
-            gone[n] = gone[self._parent[n]] or (self._hash[n] in templates and self._counts(n))
-        return [t for t, n in self.blocks if not gone[n]]
+        if templates:
+            for n in range(1, len(gone)):  # parents have smaller numbers
+                gone[n] = gone[self._parent[n]] or (self._hash[n] in templates and self._tag[n] not in WHOLE)
+        left = [(t, inside) for t, n, inside, out in self.blocks if not out and not gone[n]]
+        main = [t for t, inside in left if inside]
+        if 2 * sum(map(len, main)) < sum(len(t) for t, _ in left):
+            main = [t for t, _ in left]
+        return main, sum(gone[n] for _, n, _, _ in self.blocks)
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -169,16 +189,18 @@ class Page:
     def _text(self, raw: str) -> None:
         top = self._open[-1]
         text = unescape(raw) if "&" in raw else raw
-        if not top[2]:
-            self._parts.append(text)
+        if top[0] not in RAW:
+            self._parts[top[2]].append(text)
         if text and not text.isspace():
             top[4].append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
 
     def _border(self) -> None:
-        if self._parts:
-            top = self._open[-1]
-            self._raw_blocks.append((self._parts, self._around(), top[3]))
-            self._parts = []
+        for out, parts in enumerate(self._parts):
+            if parts:
+                text = " ".join("".join(parts).split())
+                if text:
+                    self.blocks.append((text, self._around(), self._open[-1][3], bool(out)))
+                parts.clear()
 
     def _around(self) -> int:
         for _, n, *_ in reversed(self._open):
@@ -188,8 +210,7 @@ class Page:
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            if not self._open[-1][2]:
-                self._parts.append(" ")
+            self._parts[self._open[-1][2]].append(" ")
             return
         if tag in BLOCK:
             self._border()
@@ -200,26 +221,26 @@ class Page:
         if tag in VOID:
             return
         _, _, out, inside, _ = self._open[-1]
-        within = inside
+        within, within_main = inside, False
         mark = ""
         if attributes:
-            words: set[str] = set()
             for m in _MARK.finditer(attributes):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name == "style":
                     out = out or bool(_HIDDEN.search(value))
                 elif name == "hidden" or name == "aria-hidden":
-                    out = out or name == "hidden" or value.lower() == "true"
+                    out = out or name == "hidden" or value == "true"
+                elif name == "role" and value == "main":
+                    mark += " main"
+                    inside = within_main = True
                 else:
-                    mark += f" {value.lower()}"
-                    if not (name == "role" and value.lower() == "main"):
-                        words.update(_WORDS.findall(value.lower()))
-                    else:
-                        inside = self._has_article = True if not out else self._has_article
-            if tag not in ("html", "body", "main") and words & (MARKS if tag != "article" else frozenset(("comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo"))):
-                out = True
-            if words & OUTSIDE and not inside and tag not in ("html", "body", "main", "article"):
-                out = True
+                    mark += f" {value}"
+            if mark and tag not in WHOLE and not within_main:
+                out = out or marked(mark) or (not inside and not OUTSIDE.isdisjoint(mark.split()))
+            elif tag == "article":
+                out = out or not ARTICLES.isdisjoint(_WORDS.findall(mark))
+            if within_main and not out:
+                self._has_article = True
         if tag in NEVER or (tag == "header" and not inside):
             out = True
         if tag in ("article", "main") and not out:
@@ -282,8 +303,8 @@ def _signed(h: int) -> int:
 
 
 def main_text(html: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's blocks without those in a template subtree."""
-    return "\n\n".join(Page(html).without(templates))
+    """The page's main text without what stands in a template subtree."""
+    return "\n\n".join(Page(html).without(templates)[0])
 
 
 _PAGE_KEY = "xxhash64(coalesce(html, ''))"
@@ -293,25 +314,24 @@ _HOST = "coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#
 def subtrees(pages: DataFrame) -> DataFrame:
     """host, page_key, unit, hash, line of each block-level subtree that may be a template; pages with equal html on a host once.
 
-    unit is what counts once: the page, or its article if it has one; line: a single line of an article.
+    unit is what counts once: the page outside an article, else the article; line: a single line of an article.
     """
 
     def make():
         def run(batch):
             read = [Page(t) for t in C.texts(batch, "html")]
-            found = [p.hashes() for p in read]
-            return {
-                "host": C.column(batch, "host"), "page_key": C.column(batch, "page_key"), "article": [p.article_key() for p in read],
-                "parts": [sorted(x) for x, _ in found], "lines": [sorted(x) for _, x in found],
-            }
+            found = list(zip(*(p.hashes() for p in read)))
+            own = {"host": C.column(batch, "host"), "page_key": C.column(batch, "page_key"), "article": [p.key() for p in read]}
+            return own | {k: [sorted(x) for x in sets] for k, sets in zip(("outer", "parts", "lines"), found)}
 
         return run
 
     keyed = pages.select(F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key"), "html")
-    found = C.map_batches(keyed, "host string, page_key bigint, article bigint, parts array<bigint>, lines array<bigint>", make).filter("size(parts) + size(lines) > 0")
-    each = F.explode(F.expr("concat(transform(parts, h -> struct(h as hash, false as line)), transform(lines, h -> struct(h as hash, true as line)))"))
-    found = found.dropDuplicates(["host", "page_key"]).select("host", "page_key", F.coalesce("article", "page_key").alias("unit"), each.alias("s"))
-    return found.select("host", "page_key", "unit", "s.hash", "s.line")
+    found = C.map_batches(keyed, "host string, page_key bigint, article bigint, outer array<bigint>, parts array<bigint>, lines array<bigint>", make).filter("size(outer) + size(parts) + size(lines) > 0")
+    kinds = (("outer", "page_key", "false"), ("parts", "article", "false"), ("lines", "article", "true"))
+    each = F.explode(F.expr("concat(" + ", ".join(f"transform({k}, h -> struct(h as hash, {unit} as unit, {line} as line))" for k, unit, line in kinds) + ")"))
+    found = found.dropDuplicates(["host", "page_key"]).select("host", "page_key", each.alias("s"))
+    return found.select("host", "page_key", "s.unit", "s.hash", "s.line")
 
 
 def templates(found: DataFrame, min_pages: int, line_pages: int) -> DataFrame:
@@ -322,7 +342,7 @@ def templates(found: DataFrame, min_pages: int, line_pages: int) -> DataFrame:
 
 
 def extract(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 1_000_000, line_pages: int = 20) -> DataFrame:
-    """page_id, url, text of each whole page."""
+    """page_id, url, text of each whole page, and n_template: its blocks, in or out of the main text, that a site template holds."""
     found = C.cut(subtrees(pages))
     key = F.unhex(F.md5(F.to_json(F.struct("host", "hash", "line")).cast("binary"))).alias("key")
     recurring = C.cut(templates(found, min_pages, line_pages).select(key, "n", F.lit(True).alias("template")))
@@ -330,16 +350,16 @@ def extract(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 1_000_00
     own = C.cut(marked.groupBy("host", "page_key").agg(F.collect_list("hash").alias("templates")))  # a page's own subtrees
     keyed = pages.select("page_id", "url", "html", F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key"))
     joined = keyed.join(broadcast_if_small(own, broadcast_rows), ["host", "page_key"], "left").select("page_id", "url", "html", "templates")
-    schema = C.schema_of(f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    schema = C.schema_of(f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_template long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = C.arrow_schema(schema)
         for batch in batches:
-            got = [main_text(h, set(t or ())) for h, t in zip(C.texts(batch, "html"), C.column(batch, "templates").to_pylist())]
-            yield C.to_batch({"page_id": C.column(batch, "page_id"), "url": C.column(batch, "url"), "text": got}, out)
+            got = [Page(h).without(set(t or ())) for h, t in zip(C.texts(batch, "html"), C.column(batch, "templates").to_pylist())]
+            yield C.to_batch({"page_id": C.column(batch, "page_id"), "url": C.column(batch, "url"), "text": ["\n\n".join(x) for x, _ in got], "n_template": [n for _, n in got]}, out)
 
     return joined.mapInArrow(run, schema)
 
 
 def op7_extract_html(spark, sf_dir: str) -> DataFrame:
-    return extract(C.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract(C.table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")

@@ -93,6 +93,35 @@ def test_main_text():
     assert html_extract.main_text("<ul><li>x<li>y</ul>1 < 2") == "x\n\ny\n\n1 < 2"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><p>Intro</p><p class="alert">Storm warning</p><div class="search-and-rescue">Boats</div><div class="share-prices">Up</div><p>End</p></article>', "Intro\n\nStorm warning\n\nBoats\n\nUp\n\nEnd"),
+    ('<article><p>a</p><div class="share-buttons">b</div><div class="site cookie-banner">c</div><span class="ad">x</span><section class="comments">z</section></article>', "a"),
+    ('<div id="content"><p>The main text of the page</p></div><article>Teaser</article>', "The main text of the page\n\nTeaser"),
+    ('<div>Head</div><div role="main"><p>The text that counts</p></div>', "The text that counts"),
+])
+def test_names_of_elements(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_templates_are_counted_over_the_whole_page(spark):
+    """Menus and footers that recur are found as templates, by the same counts as a brute force has."""
+    page = lambda i: f"<nav><ul><li>Home</li><li>Item {i}</li></ul></nav><article><h1>H{i}</h1><p>Text {i}</p></article><footer><p>By us</p></footer>"
+    rows = [(i, f"https://{'ab'[i % 2]}.example/{i}", page(i)) for i in range(11)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    units: dict = {}
+    for _, url, html in rows:
+        p = html_extract.Page(html)
+        outer, parts, lines = p.hashes()
+        for line, hashes, unit in ((False, outer, html), (False, parts, p.key()), (True, lines, p.key())):
+            for h in hashes:
+                units.setdefault((url[8], h, line), set()).add(unit)
+    want = {(f"{k[0]}.example", *k[1:]) for k, u in units.items() if len(u) >= (20 if k[2] else 5)}
+    got = {(r["host"], r["hash"], r["line"]) for r in html_extract.templates(html_extract.subtrees(df), 5, 20).collect()}
+    assert got == want and len(want) == 6  # li, footer and its p on each host
+    out = {r.page_id: (r.text, r.n_template) for r in html_extract.extract(df).collect()}
+    assert out[4] == ("H4\n\nText 4", 2)
+
+
 @pytest.mark.parametrize("s", ["<div>a" * 20000, "<div>" * 20000 + "</p>" * 20000, "<!--" * 50000, '<a "' * 50000, "<p><b>" * 20000, "<" * 100000, "<script>" * 20000])
 def test_parser_is_linear(s):
     assert isinstance(html_extract.main_text(s), str)
@@ -155,10 +184,22 @@ def test_archives_round_trip(spark, tmp_path):
             data = (h or "").encode()
             refers = first.get(h or "") if len(data) >= least and first.get(h or "") is not None and (i is None or i > first[h or ""]) else None
             want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if refers is None else "revisit", refers))
-        assert sorted(map(str, (tuple(x) for x in warc.digest(captures).collect()))) == sorted(map(str, want))
+        assert sorted(map(str, (tuple(x) for x in warc.resolve(captures).collect()))) == sorted(map(str, want))
         bodies = {bytes(x.response.payload).decode() for x in captures.collect() if x.response.type == "response"}
         assert bodies == {h or "" for _, _, h in rows}
-    assert warc.digest(warc.assemble(warc.read_records(warc.write(df.filter("false"), f"{tmp_path}/none")))).count() == 0
+    assert warc.resolve(warc.assemble(warc.read_records(warc.write(df.filter("false"), f"{tmp_path}/none")))).count() == 0
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    rows = [(5, "first", "x" * 50), (7, "second", "x" * 50), (9, "third", "x" * 50), (1, "twice", "y"), (1, "twice", "y"), (2, "of-twice", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for k, options in enumerate(({}, {"broadcast_rows": 0})):
+        found = {(r.uri, r.type): r for r in warc.read_records(warc.write(df, f"{tmp_path}/{k}", **options)).collect()}
+        first = found["first", "response"]
+        for name in ("second", "third"):
+            r = found[name, "revisit"]
+            assert (r.refers_to, r.refers_uri, r.refers_date, r.digest) == (first.record_id, "first", first.date, first.digest) and r.payload_bytes is None
+        assert found["of-twice", "revisit"].refers_to is None and found["of-twice", "revisit"].refers_uri == "twice"
 
 
 def test_archive_is_read_by_its_records(spark, tmp_path):
