@@ -23,7 +23,7 @@ of a score.
 
 Defined results: null and empty texts have no tokens and get the score of no
 evidence; repeated label rows of a document count as toxic if one of them does;
-null labels are ignored; if a class is missing, every score is 0 and nothing is
+of documents with one doc_id the fit takes the least text; null labels are ignored; if a class is missing, every score is 0 and nothing is
 predicted toxic; repeated documents get a row each.
 
 Scale: one pass over the documents without a shuffle; the sample is found on the
@@ -48,7 +48,9 @@ BITS = 17
 
 
 def tokens_of(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Words in lower case, one for each match of the pattern in the text itself."""
+    low = text.lower()
+    return _TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in _TOKEN.findall(text)]
 
 
 def _marks(word: str) -> list[str]:
@@ -252,9 +254,8 @@ class Field:
         found: list[list[dict]] = [[] for _ in texts]
         for k in np.flatnonzero(x[:, 1] >= 0.5) if spans else ():
             last = -2
-            # Lower-casing may change lengths; such rare texts get offsets of the lower-cased text's tokens as far as they agree.
-            for i, m in enumerate(_TOKEN.finditer(texts[k] if len(texts[k]) == len(texts[k].lower()) else texts[k].lower())):
-                if i < len(own[k]) and own[k][i] >= 0.5:
+            for i, m in enumerate(_TOKEN.finditer(texts[k])):
+                if own[k][i] >= 0.5:
                     if i == last + 1:
                         found[k][-1]["end"] = m.end()
                     else:
@@ -276,7 +277,7 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int, train_chars:
     share = known.agg(F.avg("toxic")).first()[0]
     chosen = spark.createDataFrame(ids, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
     fetched = documents.select("doc_id", "text").filter(F.length("text").between(1, train_chars)).join(F.broadcast(chosen), "doc_id")
-    rows = fetched.collect()
+    rows = fetched.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()  # at most 2 * per_class
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.text))
     return [r.text for r in rows], np.array([r.toxic for r in rows], dtype=int), share
 
