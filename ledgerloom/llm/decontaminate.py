@@ -1,10 +1,9 @@
 """Benchmark decontamination (operator 6): one Aho-Corasick automaton over word windows.
 
 Benchmark items are cut into windows of ``n`` consecutive words; an item with
-fewer words, but not none, is one window. Each document is normalised once to
-words joined by single spaces and scanned once; a match is bounded by spaces, so
-it always covers whole words. Hits are reported as word spans and mapped back to
-character offsets of the original text.
+fewer words, but not none, is one window. Each document is normalised to words and
+scanned once, so a match always covers whole words. Hits are reported as word
+spans and mapped back to character offsets of the original text.
 
 Defined results: null and empty texts have no words and no hits; items without
 words never match; items with equal windows all count as occurring; windows of
@@ -12,20 +11,23 @@ items without an id are hits that name no item with ``null_items``, as in the
 query and the pipeline, and left out without; repeated
 document rows each get their own row; other columns of either table are ignored.
 
-Scale: documents are never shuffled. Automata travel to the workers in blocks of
-at most ``block_chars`` pattern characters (a documented memory bound). A larger
-benchmark is scanned block by block within one pass over the documents: the
-worker holds one automaton a block, and a block is loaded from the shared folder
-when it is needed.
+Scale: documents are never shuffled. The automaton's letters are the benchmark's
+words, so that it has a node a word, not a character, and a text is one letter a
+word to it. Patterns travel to the workers in blocks of at most ``block_chars``
+characters (a documented memory bound), through the shared folder. A benchmark
+of one block has one automaton, built once a task. A larger one is scanned block by
+block: a task holds its texts, up to ``hold_bytes`` of them, builds each automaton
+once, and scans them all before it builds the next.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +66,31 @@ def _pattern_blocks(rows: list[tuple[str | None, str]], n: int, block_chars: int
     return blocks
 
 
-def _automaton(block: list[tuple[str, int, list[str]]]):
-    import ahocorasick
+class Patterns:
+    """One automaton over the windows of a block, whose letters are words."""
 
-    a = ahocorasick.Automaton()
-    for i, (w, n, _) in enumerate(block):
-        a.add_word(f" {w} ", (i, n))
-    a.make_automaton()
-    return a
+    def __init__(self, block: list[tuple[str, int, list[str]]]) -> None:
+        import ahocorasick
+
+        self.items = [items for _, _, items in block]
+        self.letters: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton()
+        for i, (window, n, _) in enumerate(block):
+            words = window.encode("utf-8", "surrogatepass").split()
+            for w in words:
+                if w not in self.letters:
+                    k = len(self.letters) + 1
+                    self.letters[w] = chr(k if k < 0xD800 else k + 0x800)  # past the surrogates
+            self.automaton.add_word("".join(map(self.letters.__getitem__, words)), (i, n))
+        self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(first word, word after the last, number of the window) of each match."""
+        if not words:
+            return []
+        get = self.letters.get
+        text = "".join([get(w, "\x00") for w in words])
+        return [(end - n + 1, end + 1, i) for end, (i, n) in self.automaton.iter(text)]
 
 
 def _original_offsets(text: str) -> list[tuple[int, int]]:
@@ -115,81 +134,84 @@ def _publish(benchmark: DataFrame, n: int, block_chars: int, null_items: bool) -
     return paths
 
 
-def _scanner(paths: list[str]):
-    """For a worker: texts to their number of words, merged hit spans in words, and items."""
-
-    def load(path: str) -> list[tuple[str, int, list[str]]]:
-        fs, p = C.filesystem(path)
-        with fs.open_input_stream(p) as f:
-            return pickle.loads(f.read())
-
-    kept = [(_automaton(b := load(paths[0])), b)] if len(paths) == 1 else []
-
-    def scan_texts(docs: list[str]) -> tuple[list[int], list[list[list[int]]], list[list[str]]]:
-        words = [words_of(t) for t in docs]
-        joined = [f" {b' '.join(w).decode('utf-8', 'surrogatepass')} " if w else "" for w in words]
-        hits: list[list[tuple[int, int]]] = [[] for _ in docs]
-        items: list[set[str]] = [set() for _ in docs]
-        for path in paths:
-            automaton, block = kept[0] if kept else (_automaton(b := load(path)), b)
-            for k, text in enumerate(joined):
-                starts: list[int] = []
-                for end, (i, size) in automaton.iter(text) if text else ():
-                    if not starts:
-                        at = 1
-                        for w in text[1:-1].split(" "):
-                            starts.append(at)
-                            at += len(w) + 1
-                    last = bisect.bisect_right(starts, end - 1) - 1
-                    hits[k].append((last - size + 1, last + 1))
-                    items[k].update(block[i][2])
-        merged = []
-        for found in hits:
-            own: list[list[int]] = []
-            for s, e in sorted(found):
-                if own and s <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], e)
-                else:
-                    own.append([s, e])
-            merged.append(own)
-        return [len(w) for w in words], merged, [sorted(x) for x in items]
-
-    return scan_texts
-
-
-def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000, null_items: bool = False) -> DataFrame:
+def _load(path: str) -> Patterns:
+    fs, p = C.filesystem(path)
+    with fs.open_input_stream(p) as f:
+        return Patterns(pickle.loads(f.read()))
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    own: list[list[int]] = []
+    for s, e in sorted(spans):
+        if own and s <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], e)
+        else:
+            own.append([s, e])
+    return own
+
+
+def _scan_pieces(paths: list[str], batches: Iterator[pa.RecordBatch], hold_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[list[int]], list[str]]]]]:
+    """Each piece of the batches with its texts' numbers of words, merged hit spans in words, and items."""
+    kept = [_load(paths[0])] if len(paths) == 1 else None
+    held: list[pa.RecordBatch] = []
+
+    def scan_held():
+        hits: list[list[list[tuple[int, int]]]] = [[[] for _ in range(p.num_rows)] for p in held]
+        items: list[list[set[str]]] = [[set() for _ in range(p.num_rows)] for p in held]
+        n_words: list[list[int]] = [[0] * p.num_rows for p in held]
+        for patterns in kept or (map(_load, paths) if paths else [None]):
+            for k, piece in enumerate(held):
+                for row, text in enumerate(C.texts(piece)):
+                    words = words_of(text)
+                    n_words[k][row] = len(words)
+                    for s, e, i in patterns.hits(words) if patterns else ():
+                        hits[k][row].append((s, e))
+                        items[k][row].update(patterns.items[i])
+        for k, piece in enumerate(held):
+            yield piece, [(n, _merged(h), sorted(x)) for n, h, x in zip(n_words[k], hits[k], items[k])]
+
+    for batch in batches:
+        for piece in C.pieces(batch):
+            held.append(piece)
+            if len(paths) <= 1 or sum(p.nbytes for p in held) >= hold_bytes:
+                yield from scan_held()
+                held = []
+    if held:
+        yield from scan_held()
+    C.give_back()
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000, null_items: bool = False, hold_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, n_words, hit_words (merged spans of word numbers), spans (the same in code points of the text), items."""
+    C.bound_batches(documents.sparkSession)
     paths = _publish(benchmark, n, block_chars, null_items)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    span = "array<struct<start:bigint,end:bigint>>"
+    schema = C.schema_of(f"doc_id {kind}, n_words bigint, hit_words {span}, spans {span}, items array<string>")
 
-    def make():
-        scan_texts = _scanner(paths)
-
-        def run(batch):
-            docs = C.texts(batch)
-            n_words, merged, items = scan_texts(docs)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = C.arrow_schema(schema)
+        for piece, found in _scan_pieces(paths, batches, hold_bytes):
             spans = []
-            for text, own in zip(docs, merged):
+            for text, (_, own, _) in zip(C.texts(piece), found):
                 at = _original_offsets(text) if own else []
                 spans.append([{"start": at[s][0], "end": at[e - 1][1]} for s, e in own])
-            hit_words = [[{"start": s, "end": e} for s, e in own] for own in merged]
-            return {"doc_id": C.column(batch, "doc_id"), "n_words": n_words, "hit_words": hit_words, "spans": spans, "items": items}
-
-        return run
+            hit_words = [[{"start": s, "end": e} for s, e in own] for _, own, _ in found]
+            yield C.to_batch({"doc_id": C.column(piece, "doc_id"), "n_words": [x[0] for x in found], "hit_words": hit_words, "spans": spans, "items": [x[2] for x in found]}, out)
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    span = "array<struct<start:bigint,end:bigint>>"
-    return C.map_batches(documents.select("doc_id", "text"), f"doc_id {kind}, n_words bigint, hit_words {span}, spans {span}, items array<string>", make)
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000, null_items: bool = False) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = 8_000_000, null_items: bool = False, hold_bytes: int = 128 << 20) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns, in one pass without a shuffle."""
+    C.bound_batches(documents.sparkSession)
     paths = _publish(benchmark, n, block_chars, null_items)
 
-    def make():
-        scan_texts = _scanner(paths)
-        return lambda batch: [not own for own in scan_texts(C.texts(batch))[1]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, found in _scan_pieces(paths, batches, hold_bytes):
+            yield piece.filter(pa.array([not own for _, own, _ in found], type=pa.bool_()))
 
-    return C.filter_batches(documents, make)
+    return documents.mapInArrow(run, documents.schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

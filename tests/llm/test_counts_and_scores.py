@@ -201,9 +201,34 @@ def test_toxicity_edges(spark, odd):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got) and toxicity.score(odd.filter("false"), field).count() == 0
 
 
+def test_toxicity_offsets_are_those_of_the_text(spark):
+    """Lower case may be longer than the text."""
+    docs, labels, _ = _toxic_docs(spark)
+    field = toxicity.train(docs.union(docs), labels)
+    text = "İİİİ İstanbul zxmoron zxidiot fine"
+    spans = field.score([text, text.replace("İ", "i")], toxicity.Emissions(field))[1]
+    assert spans[0] == spans[1] and any("zxmoron" in text[s["start"] : s["end"]] for s in spans[0])
+    assert len(toxicity.tokens_of(text)) == 5
+
+
 # 6
 
 
+def test_automata_are_built_once_a_task(spark, monkeypatch, tmp_path):
+    import pyarrow as pa
+
+    bench = spark.createDataFrame([(i, f"w{i} x{i} y{i}") for i in range(20)], "item_id long, text string")
+    paths = decontaminate._publish(bench, 10, 60, False)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [f"a w{k} x{k} y{k} b"]}) for k in range(30)]
+    built, load = [], decontaminate._load
+    monkeypatch.setattr(decontaminate, "_load", lambda p: built.append(p) or load(p))
+    for own, hold in ((paths, 1 << 20), (paths[:1], 0)):
+        built.clear()
+        found = [x for _, rows in decontaminate._scan_pieces(own, iter(batches), hold) for x in rows]
+        assert built == own and len(found) == 30 and {x[0] for x in found} == {5}
+    assert len(paths) > 3 and sum(bool(x[1]) for _, rows in decontaminate._scan_pieces(paths, iter(batches), 100) for x in rows) == 20
+
+
 def test_decontamination_against_brute_force(spark):
     r = random.Random(6)
     words = [f"w{i}" for i in range(12)]
