@@ -311,13 +311,16 @@ def _marked(documents: DataFrame, **options) -> DataFrame:
     return joined.drop("__id", "__key", "__own")
 
 
-_KEPT = "array_join(transform(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x as x, i as i)), s -> not array_contains(__gone, s.i)), s -> s.x), '\\n')"
+#: The lines are bound once, as a lambda's variable; a set difference leaves the numbers of those that stay.
+_KEPT = "transform(array(split(text, '\\n', -1)), lines -> array_join(transform(array_except(sequence(0, size(lines) - 1), __gone), i -> lines[i]), '\\n'))[0]"
+#: A character that is not white space, as str.strip understands it.
+_SOLID = r"(?U)[^\s\x1C-\x1F]"
 
 
 def dedup_lines(documents: DataFrame, **options) -> DataFrame:
     """The documents without the dropped lines, with all their columns; one that loses all its text goes, n_chars is set anew."""
     out = _marked(documents, **options).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr(_KEPT)))
-    out = out.filter("__gone is null or text rlike '[^\\\\s]'")
+    out = out.filter(F.col("__gone").isNull() | F.col("text").rlike(_SOLID))
     if dict(documents.dtypes).get("n_chars") in ("int", "bigint"):
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(documents.dtypes)["n_chars"])))
     return out.select(*(F.col(f"`{c}`") for c in documents.columns))
@@ -326,7 +329,7 @@ def dedup_lines(documents: DataFrame, **options) -> DataFrame:
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     marked = _marked(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.expr(_KEPT))
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.regexp_like(x, F.lit(r"(?U)[^\s]"))))
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.regexp_like(x, F.lit(_SOLID))))
     return marked.select(
         "doc_id", n.cast("long").alias("n_lines"), F.coalesce("__exact", F.lit(0)).cast("long").alias("n_exact"), F.coalesce("__near", F.lit(0)).cast("long").alias("n_near"),
         F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"),

@@ -100,7 +100,7 @@ def mix(
     """doc_id, source, size, source_size, target, taken."""
     spark = documents.sparkSession
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
-    docs = C.cut(documents.select("doc_id", F.col("source").cast("string").alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("order")))
+    docs = C.cut(documents.select("doc_id", F.col("source").cast("string").alias("source"), size.cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")))
     totals = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     rows = totals.limit(max_sources + 1).collect()
     if len(rows) > max_sources:

@@ -23,7 +23,7 @@ infinite components take no part, nor do rows without id or of another length
 than the most frequent one; a repeated row (equal id and vector) counts once;
 an empty table gives no rows; other columns are ignored.
 
-Scale: vectors move once for each curve; keys and ranks are rows of a few bytes;
+Scale: vectors move once for each curve, in single precision if they came so; keys and ranks are rows of a few bytes;
 the driver sees the counts of range partitions and the sample's distances. The
 top-k of equal vectors is limited before the shuffle, so a frequent vector is no
 hot task. Work is rows times window share: on isotropic noise, where near rows
@@ -103,8 +103,8 @@ def matrix(a: pa.Array, dim: int) -> np.ndarray:
 
 
 def _valid(embeddings: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v (array of doubles) of the rows that take part."""
-    v = F.col(vec_col).cast("array<double>")
+    """vec_id, v (array of floats, if it was one, or doubles) of the rows that take part."""
+    v = F.col(vec_col) if dict(embeddings.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and size(v) > 0")
     whole = "forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     rows = rows.filter(whole)
@@ -131,7 +131,7 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     spark = embeddings.sparkSession
-    rows = _valid(embeddings, id_col, vec_col).withColumn("vh", F.unhex(F.md5(F.to_json(F.struct("v")).cast("binary"))))
+    rows = _valid(embeddings, id_col, vec_col).withColumn("vh", F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), "v")), 16, "0") for i in (0, 1)))))
     # Of equal vectors the k + 1 smallest ids; Spark limits them before the shuffle. row 1 stands for all on the curves.
     # Repeated rows go first: they would take the places of other ids.
     once = rows.groupBy("vh", "vec_id").agg(F.first("v").alias("v"))
@@ -140,7 +140,7 @@ def search(
     queries = C.cut(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vh", "v").dropDuplicates(["vh", "vec_id"]))
     data = members.filter("m = 1").select(F.col("vec_id").alias("rep"), "v")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    facts = data.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("n"), F.max(F.size("v")).alias("dim"), F.count("*").alias("rows")).first()
+    facts = data.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + cast(x as double) * x)")).alias("n"), F.max(F.size("v")).alias("dim"), F.count("*").alias("rows")).first()
     if not facts["rows"] or not queries.limit(1).count():
         return empty
     dim = facts["dim"]
@@ -216,7 +216,7 @@ def search(
     # Exact scores of what was found, then members of equal vectors, without the query itself.
     names = queries.join(asked.select("vh", "id"), "vh").select("id", F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
     reps = members.filter("m = 1").select(F.col("vec_id").alias("rep"), "vh", "v")
-    dot = F.expr("aggregate(zip_with(qv, v, (a, b) -> a * b), 0D, (a, x) -> a + x)")
+    dot = F.expr("aggregate(zip_with(qv, v, (a, b) -> cast(a as double) * cast(b as double)), 0D, (a, x) -> a + x)")
     scored = best.select("id", "rep").join(names, "id").join(reps, "rep").select("query_id", "qv", "vh", dot.alias("score"))
     answer = scored.join(members.select("vh", "vec_id"), "vh").filter("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()
     place_of = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
