@@ -18,9 +18,9 @@ texts whose lengths allow 0.8 meet on equal terms. Below ten words a changed wor
 may leave no k-mer; such texts are found if they are equal or changed at an end.
 
 Texts with equal words are one class from the start. Then, first round: each
-class is aligned with the one with which it shares most buckets, of those that
-are the hub (most shared member) of a bucket; so a large group of near copies
-costs one alignment a member. Second round, for every bucket that still holds
+class is aligned with the ``hubs_met`` classes with which it shares most buckets, of
+those that are the hub (most shared member) of a bucket; so a large group of near
+copies costs a few alignments a member. Second round, for every bucket that still holds
 several components: bags of words, counts of a few bytes, first tell by an upper
 bound of the aligned words which members may have a near one outside their
 component; texts of these only are dealt in blocks, and all pairs of different
@@ -246,7 +246,7 @@ def shared(seqs: list[np.ndarray]) -> np.ndarray:
     keep = often[which]
     owner, which = owner[keep], column[which[keep]]
     out = np.zeros((len(seqs), len(seqs)))
-    step = 50_000  # columns at once
+    step = 20_000  # columns at once
     for s in range(0, int(often.sum()), step):
         own = (which >= s) & (which < s + step)
         m = np.zeros((len(seqs), min(step, int(often.sum()) - s)), dtype=np.float32)
@@ -268,7 +268,7 @@ def _several(placed: DataFrame, block: int, total: int) -> DataFrame:
     """
     counts = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
-    dealt = C.join_by_key(placed, mixed.withColumn("all", F.col("n")), "bucket", F.xxhash64("key"), floor=64, total=total).filter("most is not null")
+    dealt = C.join_by_key(placed, mixed.withColumn("all", F.col("n")), "bucket", F.xxhash64("key"), total=total).filter("most is not null")
     dealt = dealt.withColumn("minor", F.col("c") != F.col("most.c"))
     blocks = lambda n: F.ceil(n / block).cast("int")
     dealt = dealt.withColumns({"k1": blocks(F.col("most.n")), "k2": blocks(F.col("all") - F.col("most.n"))})
@@ -297,14 +297,14 @@ def _enough(common: np.ndarray, n: np.ndarray, tenths: int) -> np.ndarray:
     return (10 + tenths) * common >= tenths * (n[:, None] + n[None, :])
 
 
-def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, block: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, block: int = 256, bag_block: int = 4096, hubs_met: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, text_key, class_id, kept: one row for each row of documents."""
     drawn = C.cut(sketch(documents, sketches, tenths))
     n_rows = drawn.count()
     classes = drawn.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("buckets").alias("buckets"), F.count("*").alias("n"))
     spread = classes.select("key", F.explode("buckets").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")  # only buckets with several classes
-    members = C.cut(C.join_by_key(spread, sizes.withColumn("size", F.col("n")), "bucket", F.xxhash64("key"), floor=64, total=2 * sketches * n_rows).filter("size is not null"))
+    members = C.cut(C.join_by_key(spread, sizes.withColumn("size", F.col("n")), "bucket", F.xxhash64("key"), total=2 * sketches * n_rows).filter("size is not null"))
     n_members = members.count()
     owners = C.cut(classes.join(members.select("key").distinct(), "key", "left_semi").select("key", "own.doc_id", "own.text_key"))
     texts = (
@@ -318,11 +318,12 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
     degree = members.groupBy("key").agg(F.sum("size").alias("degree"))
     placed = members.join(degree, "key").select("bucket", "key", "degree")
     hubs = placed.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("hub"), F.count("*").alias("n"))
-    found = C.join_by_key(placed, hubs, "bucket", F.xxhash64("key"), floor=64, total=n_members).filter("hub.key <> key")
+    found = C.join_by_key(placed, hubs, "bucket", F.xxhash64("key"), total=n_members).filter("hub.key <> key")
     met = found.groupBy("key", "hub").agg(F.count("*").alias("n"))
-    first = met.groupBy("key").agg(F.max(F.struct("n", "hub")).getField("hub").alias("hub")).select("key", "hub.*").toDF("key", "degree", "hub")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", "hub")), False), 1, hubs_met)  # a class has at most two hubs a sketch
+    first = met.groupBy("key").agg(best.alias("best")).select("key", F.explode("best").alias("m")).select("key", "m.hub.*").toDF("key", "degree", "hub")
     # A hub has at most so many followers as its degree; they meet its text in parts.
-    parts = F.ceil(F.col("degree") / (8 * block)).cast("int")
+    parts = F.ceil(F.col("degree") / (4 * block)).cast("int")
     first = C.cut(first.withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")))
     paired = first.select("key", "hub", "part").join(texts.select("key", "text"), "key")
     hub_texts = first.select("hub", "degree").distinct().join(texts.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
@@ -346,7 +347,7 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
 
     # Second round.
     placed = members.select("bucket", "key").join(labels.select(F.col("v").alias("key"), "c"), "key", "left").select("bucket", "key", F.coalesce("c", "key").alias("c"))
-    with_bag = _several(placed, 4 * block, n_members).join(texts.select("key", "bag"), "key")
+    with_bag = _several(placed, bag_block, n_members).join(texts.select("key", "bag"), "key")
 
     def alive(group: pa.Table) -> pa.Table:
         """The members of a meeting that may have a near one outside their component, by their bags of words."""
@@ -400,10 +401,10 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
         every = labels.select("v", "c").union(joined.select(F.col("l").alias("v"), F.col("l").alias("c"))).distinct()  # a class without links is its own label
         every = every.groupBy("v").agg(F.min("c").alias("l"))
         counts = every.groupBy("l").agg(F.count("*").alias("n"))
-        labels = C.join_by_key(every, joined.join(counts, "l"), "l", F.xxhash64("v"), floor=64, total=n_members).select("v", F.coalesce("further", "l").alias("c"))
-    labels = labels.select(F.col("v").alias("key"), "c").join(classes.select("key", "n"), "key")
+        labels = C.join_by_key(every, joined.join(counts, "l"), "l", F.xxhash64("v"), total=n_members).select("v", F.coalesce("further", "l").alias("c"))
+    labels = C.cut(labels.select(F.col("v").alias("key"), "c").join(classes.select("key", "n"), "key"))
     spread_by = F.xxhash64("doc_id", "text_key")  # copies of one text, and members of one class, may be a large part of all rows
-    named = C.join_by_key(drawn.select("doc_id", "text_key", "key"), labels, "key", spread_by, total=n_rows).select("doc_id", "text_key", F.coalesce("c", "key").alias("c"))
+    named = C.cut(C.join_by_key(drawn.select("doc_id", "text_key", "key"), labels, "key", spread_by, total=n_rows).select("doc_id", "text_key", F.coalesce("c", "key").alias("c")))
     names = named.filter("c is not null").groupBy("c").agg(
         F.min("doc_id").alias("class_id"), F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"), F.count("*").alias("n")
     ).filter("n > 1")
@@ -412,7 +413,7 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
     return out.select("doc_id", "text_key", F.when(F.col("best").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("best").isNotNull(), best).otherwise(True).alias("kept"))
 
 
-def dedup(documents: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def dedup(documents: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """One document of each class, with all its columns: the one with the smallest doc_id, of repeated rows (equal doc_id and text) one."""
     named = C.cut(near_classes(documents, broadcast_rows=broadcast_rows, **options).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "kept"))
     same = lambda df: documents.join(broadcast_if_small(df, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_anti")

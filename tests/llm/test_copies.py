@@ -120,7 +120,7 @@ def test_near_classes_against_all_pairs(spark):
         if d is not None:
             names[root[i]] = min(d, names.get(root[i], d))
     want = sorted(str((d, names.get(root[i]))) for i, (d, _) in enumerate(docs))
-    for options in ({}, {"block": 2, "broadcast_rows": 0}):
+    for options in ({}, {"block": 2, "bag_block": 3, "broadcast_rows": 0}):
         got = O.near_classes(df, **options).collect()
         assert sorted(str((r.doc_id, r.class_id)) for r in got) == want
 
