@@ -45,6 +45,25 @@ def parse_response(raw: str | Column) -> Column:
     return F.map_from_entries(last)
 
 
+def call_status(sample: DataFrame, calls: DataFrame, keys: Sequence[str], most_tries: int = 5, wait: float = 20.0) -> DataFrame:
+    """V6: the sample with response, tries, waited and status of its calls to an outside model.
+
+    calls: keys, try (from 1), response (NULL if the call failed). The first
+    response within ``most_tries`` counts; each failed try before it waits
+    ``wait`` times its number in seconds. status is recorded, retry (none
+    answered, or none was made: so a next run calls again) and, while tries are left, open.
+    """
+    got = F.col("response").isNotNull()
+    tried = calls.filter(F.col("try").between(1, most_tries)).groupBy(*keys).agg(
+        F.min_by(F.when(got, F.col("response")), F.when(got, F.col("try"))).alias("response"), F.min(F.when(got, F.col("try"))).alias("__good"), F.max("try").alias("__last")
+    )
+    tries = F.coalesce("__good", "__last", F.lit(0))
+    failed = F.when(F.col("__good").isNotNull(), F.col("__good") - 1).otherwise(tries)
+    status = F.when(F.col("__good").isNotNull(), "recorded").when(tries.between(1, most_tries - 1), "open").otherwise("retry")
+    out = sample.join(tried, list(keys), "left")
+    return out.select(*sample.columns, "response", tries.cast("int").alias("tries"), (F.lit(wait) * failed * (failed + 1) / 2).alias("waited"), status.alias("status"))
+
+
 def verdicts(sample: DataFrame, raw: str = "response", criteria: Sequence[str] = CRITERIA) -> DataFrame:
     """V5: a column for each criterion and notes; empty text fails everything, a missing or unknown score is PARSE_ERR."""
     out = sample.withColumn("__m", parse_response(raw))

@@ -1,14 +1,16 @@
-"""Cleaning sections, the exhibit fallback, and the text dataset."""
+"""Finding documents, cleaning sections, the exhibit fallback, and the text dataset."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as P
 from ledgerloom.operators.filing_html import extract_sections, parse_documents
+from ledgerloom.sources.readers import primary_documents
 
 # Running lines that are removed, before non-breaking spaces become spaces; white space is Unicode's.
 PAGE_HEADER = r"(?diU)(?:^|\n)\s*\d{1,3}\s+Table of Contents\s*(?:\n|$)"
@@ -88,6 +90,27 @@ def extract_filings(filings: DataFrame, exhibits: DataFrame | None = None, key:
     return found.select(key, *(f"item_{t}" for t in targets))
 
 
+def filing_documents(filings: DataFrame, ciks: DataFrame, subs: DataFrame, html: DataFrame) -> DataFrame:
+    """The filings with cik, doc, html and status, which names the first lookup that missed.
+
+    filings: ticker, accession_number and more, one row each, as they stay. ciks: ticker, cik,
+    as readers.first_cik() gives them. The document of an accession is that of the recent
+    batch; one that is missing or empty there comes from the older batches. html: doc, html
+    and, where known, accession_number, as file names repeat between filers; a file without
+    one serves any filing of its name. status is found, no cik, no document or no file.
+    """
+    every = reduce(DataFrame.union, (primary_documents(subs, older).filter("doc <> ''").withColumn("older", F.lit(older)) for older in (False, True)))
+    docs = every.groupBy("cik", "accession_number").agg(F.min_by("doc", "older").alias("doc"))
+    at = filings.join(ciks.select("ticker", "cik"), "ticker", "left").join(docs, ["cik", "accession_number"], "left")
+    accession = F.col("accession_number") if "accession_number" in html.columns else F.lit(None).cast("string")
+    files = html.select("doc", accession.alias("accession_number"), "html")
+    own = files.filter("accession_number is not null").dropDuplicates(["accession_number", "doc"]).withColumnRenamed("html", "__own")
+    named = files.filter("accession_number is null").dropDuplicates(["doc"]).select("doc", F.col("html").alias("__named"))
+    out = at.join(own, ["accession_number", "doc"], "left").join(named, "doc", "left").withColumn("html", F.coalesce("__own", "__named"))
+    status = F.when(F.col("cik").isNull(), "no cik").when(F.col("doc").isNull(), "no document").when(F.col("html").isNull(), "no file").otherwise("found")
+    return out.select(*filings.columns, "cik", "doc", "html", status.alias("status"))
+
+
 def text_dataset(panel: DataFrame, filings: DataFrame, exhibits: DataFrame | None = None, done: DataFrame | None = None, ciks: DataFrame | None = None) -> DataFrame:
     """Ticker, fiscal_year, item_1a, item_7 and status for each original filing that is not done.
 

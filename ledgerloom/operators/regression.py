@@ -136,6 +136,23 @@ def nested(df: DataFrame, y: str = "vol_next_year", ladders: Sequence[Sequence[s
     return [fit(complete, y, xs, **options) for xs in ladders]
 
 
+def ladder_table(spark, fits: Sequence[Fit], models: Sequence[str] | None = None) -> DataFrame:
+    """A row for each model of a ladder: adjusted R2 and its gain over the model before, the joint F test of the regressors that it adds, AIC and BIC.
+
+    Gains and tests are NULL in the first row and where a model adds nothing.
+    Models must be fitted to the same rows, as nested() does.
+    """
+    rows = []
+    for k, f in enumerate(fits):
+        added = [n for n in f.names if k and n not in fits[k - 1].names]
+        if k and f.nobs != fits[0].nobs:
+            raise ValueError("the models have different rows")
+        test = tuple(map(float, f.joint_test(added))) if added else (None, None)
+        gain = float(f.rsquared_adj - fits[k - 1].rsquared_adj) if added else None
+        rows.append((models[k] if models else f"({k + 1})", k + 1, int(f.nobs), float(f.rsquared_adj), gain, len(added), *test, float(f.aic), float(f.bic)))
+    return spark.createDataFrame(rows, "model string, step int, nobs long, adj_r2 double, gain double, added int, f double, p double, aic double, bic double")
+
+
 def within_one_way(df: DataFrame, y: str, x: str, effect: str) -> DataFrame:
     """R2 with one effect and one regressor, in one plan: (n, coef, effect_levels)."""
     used = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(effect).alias("e")).dropna()

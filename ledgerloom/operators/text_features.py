@@ -117,6 +117,18 @@ def block_changes(df: DataFrame, entity: str = "ticker", year: str = "fiscal_yea
     return counts.select(entity, year, *(P.no_nan(c).alias(c) for c in ("added", "removed", "modified", "turnover")))
 
 
+def attach_features(panel: DataFrame, features: DataFrame, keys: Sequence[str] = ("ticker", "fiscal_year")) -> DataFrame:
+    """The panel with the text features of its keys, NULL where there are none.
+
+    features has one row for each key; a repeated key raises when the plan runs,
+    as it would multiply the panel's rows. A null key matches nothing. Of columns in both, the panel's stay.
+    """
+    new = [c for c in features.columns if c not in panel.columns]
+    known = features.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *new)).alias("__x"))
+    once = F.when(F.col("__n") == 1, F.col("__x")).otherwise(F.raise_error(F.lit("features repeat a key")))
+    return panel.join(known.select(*keys, once.alias("__x")), list(keys), "left").select(*panel.columns, *(F.col("__x")[c].alias(c) for c in new))
+
+
 def section_scores(scores: DataFrame, key: Sequence[str], score: str = "score") -> DataFrame:
     """Sentence scores of an outside model, averaged for each section."""
     return scores.groupBy(*key).agg(F.count(score).alias("n_sentences"), F.avg(score).alias("mean_score"), F.avg((F.col(score) < 0).cast("double")).alias("share_negative"))

@@ -40,7 +40,7 @@ def build_panel(facts: DataFrame, submissions: DataFrame, universe: DataFrame, p
     return df.select(*(c for c in PANEL_COLUMNS if c in df.columns))
 
 
-#: The robustness variants, by what they change.
+#: The robustness variants of the build, by what they change; those of the models are in robustness.py.
 VARIANTS = {
     "window_63": Settings(window_days=91, min_observations=40),
     "window_180": Settings(window_days=180, min_observations=100),

@@ -37,6 +37,18 @@ def regression_table(fits: Sequence[Fit], labels: Mapping[str, str], firms: int,
     return _table(["", *(f"({i + 1})" for i in range(len(fits)))], rows, (rule,))
 
 
+def comparison_table(ladder: DataFrame) -> str:
+    """Adjusted R2, its gain, F of the added regressors with stars, AIC and BIC; ladder as ladder_table() gives it."""
+    rows = [[r.model, _num(r.adj_r2), _num(r.gain), "" if r.f is None else _num(r.f, 2) + _stars(r.p), _num(r.aic, 1), _num(r.bic, 1)] for r in ladder.orderBy("step").collect()]
+    return _table(["Model", "Adj. $R^2$", r"$\Delta$", "$F$", "AIC", "BIC"], rows)
+
+
+def robustness_table(battery: DataFrame) -> str:
+    """Coefficient with stars, t statistic, adjusted R2 and rows of each variant; battery as robustness.battery() gives it."""
+    rows = [[r.variant, _num(r.coef, 4) + _stars(r.p), _num(r.t, 2), _num(r.adj_r2), f"{r.nobs:,}"] for r in battery.orderBy("position").collect()]
+    return _table(["Variant", "Coefficient", "$t$", "Adj. $R^2$", "Observations"], rows)
+
+
 def summary_table(stats: DataFrame, labels: Mapping[str, str]) -> str:
     """Mean, standard deviation and quartiles; stats as describe() gives them."""
     by = {r.variable: r for r in stats.collect()}

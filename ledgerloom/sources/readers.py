@@ -76,9 +76,11 @@ def primary_documents(subs: DataFrame, include_older: bool = False) -> DataFrame
 
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
-    """Doc (file name) and html of each file below a path."""
+    """Doc (file name) and html of each file below a path; accession_number, if its folder is named by one, with or without dashes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("doc"), F.decode("content", "UTF-8").alias("html"))
+    folder = r"/(\d{10})-?(\d{2})-?(\d{6})/[^/]+$"
+    accession = F.when(F.col("path").rlike(folder), F.concat_ws("-", *(F.regexp_extract("path", folder, i) for i in (1, 2, 3))))
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("doc"), F.decode("content", "UTF-8").alias("html"), accession.alias("accession_number"))
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
