@@ -55,10 +55,34 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{work_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder, so that a lost executor costs no recomputation."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
+    """Ends the lineage in the shared folder, so that a lost executor costs no recomputation.
+
+    Later steps read the checkpoint only, so the run's shuffle files go at its
+    end, and not when the driver happens to collect garbage. A setting of the user's own stays.
+    """
+    spark = df.sparkSession
+    work_dir(spark)
+    if spark.conf.get(_CLEAN, None) is not None:
+        return df.checkpoint()
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.unset(_CLEAN)
+
+
+def uncut(*frames: DataFrame) -> None:
+    """Deletes the checkpoints of results of ``cut`` that nothing reads any more: all that was made of them is itself cut or collected."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if found.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(found.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def schema_of(ddl: str) -> T.StructType:

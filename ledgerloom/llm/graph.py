@@ -16,23 +16,28 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     Minima combine before they are shuffled; where labels meet the links of a
     much-linked vertex, or the members of a large component, these rows are
     joined apart and stay spread (common.join_by_key). Only counts reach the driver.
+    What a round no longer reads is deleted, so the disk holds one round at a time.
     """
     both = C.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = C.cut(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.least("a", "b").alias("c"), "n"))
     found = labels.agg(F.sum("n"), F.max("n"), F.count("*")).first()
     if not found[2]:
         return labels.select("v", "c")
+    last = labels
     for _ in range(most_rounds):
         ends = labels.select(F.col("v").alias("b"), "n", "c")
         near = _meet(both, ends, "b", F.xxhash64("a", "b"), found[0], found[1]).groupBy("a").agg(F.min("c").alias("least")).withColumnRenamed("a", "v")
         nearer = C.cut(labels.join(near, "v").select("v", "n", F.col("c").alias("old"), F.least("c", "least").alias("c")))
+        C.uncut(last)
         sizes = nearer.groupBy("c").agg(F.count("*").alias("n"))
         jump = nearer.select(F.col("v").alias("c"), F.col("c").alias("j")).join(sizes, "c")
         jumped = _meet(nearer, jump, "c", F.xxhash64("v"), found[2], sizes.agg(F.max("n")).first()[0])
-        labels = C.cut(jumped.select("v", F.least("c", F.coalesce("j", "c")).alias("c"), "n", "old"))
-        if not labels.filter("c <> old").limit(1).count():
+        last = C.cut(jumped.select("v", F.least("c", F.coalesce("j", "c")).alias("c"), "n", "old"))
+        C.uncut(nearer)
+        labels = last.drop("old")
+        if not last.filter("c <> old").limit(1).count():
+            C.uncut(both)
             return labels.select("v", "c")
-        labels = labels.drop("old")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

@@ -313,6 +313,7 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
         .select("key", "text").dropDuplicates(["key"])
     )
     texts = C.cut(with_bags(texts))
+    C.uncut(owners)
 
     # First round. The original of many copies is nearer to them than they are to each other, and so shares most buckets.
     degree = members.groupBy("key").agg(F.sum("size").alias("degree"))
@@ -343,7 +344,9 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
 
     links_kind = C.schema_of("a binary, b binary")
     one = C.cut(paired.select(F.col("hub").alias("a"), F.col("key").alias("b"), "text", "hub_text").mapInArrow(compare, links_kind))
+    C.uncut(first)
     labels = components(one)
+    C.uncut(one)
 
     # Second round.
     placed = members.select("bucket", "key").join(labels.select(F.col("v").alias("key"), "c"), "key", "left").select("bucket", "key", F.coalesce("c", "key").alias("c"))
@@ -396,6 +399,7 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     two = C.cut(C.by_group(with_text, ["bucket", "cross", "p", "q"], links_kind, lambda: within).distinct())  # links between labels
+    C.uncut(members, texts, live)
     if two.limit(1).count():
         joined = components(two).select(F.col("v").alias("l"), F.col("c").alias("further"))
         every = labels.select("v", "c").union(joined.select(F.col("l").alias("v"), F.col("l").alias("c"))).distinct()  # a class without links is its own label
@@ -405,6 +409,7 @@ def near_classes(documents: DataFrame, sketches: int = 48, tenths: int = 8, bloc
     labels = C.cut(labels.select(F.col("v").alias("key"), "c").join(classes.select("key", "n"), "key"))
     spread_by = F.xxhash64("doc_id", "text_key")  # copies of one text, and members of one class, may be a large part of all rows
     named = C.cut(C.join_by_key(drawn.select("doc_id", "text_key", "key"), labels, "key", spread_by, total=n_rows).select("doc_id", "text_key", F.coalesce("c", "key").alias("c")))
+    C.uncut(drawn, two, labels)
     names = named.filter("c is not null").groupBy("c").agg(
         F.min("doc_id").alias("class_id"), F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"), F.count("*").alias("n")
     ).filter("n > 1")
