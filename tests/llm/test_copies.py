@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import graph, line_dedup, order_minhash as O
+from ledgerloom.llm import common as C, graph, line_dedup, order_minhash as O
 
 
 def test_components(spark):
@@ -197,3 +197,17 @@ def test_dedup_lines_result(spark, lines):
     assert line_dedup.dedup_lines(lines.filter("false")).count() == 0
     again = line_dedup.dropped(out)
     assert not any(r.exact for r in again.collect())
+
+
+def test_cut_leaves_the_session_alone_and_uncut_deletes(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    made = C.cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    again = C.cut(made.filter("k < 3"))
+    folder = Path(urlparse(made._jdf.queryExecution().logical().rdd().getCheckpointFile().get()).path)
+    assert folder.is_dir()
+    C.uncut(made)
+    assert not folder.exists()
+    assert sorted(r.k for r in again.collect()) == [0, 1, 2]
