@@ -29,6 +29,19 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_take_few_jobs_and_many_go_in_rounds(spark):
+    links = [(f"v{i:03}", f"v{i + 1:03}") for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "x")]
+    df = spark.createDataFrame(links, "a string, b string").select(F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"))
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        few = {bytes(r.v): bytes(r.c) for r in graph.components(df).collect()}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8  # each round has dozens, whose threads fill the driver
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert few == {f"v{i:03}".encode(): b"v000" for i in range(41)} | {b"x": b"x", b"y": b"x"}
+    assert few == {bytes(r.v): bytes(r.c) for r in graph.components(df, one_task=10).collect()}
+
+
 def test_alignment_against_dynamic_programming():
     r = random.Random(2)
     for _ in range(1500):
