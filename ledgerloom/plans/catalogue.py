@@ -265,23 +265,24 @@ def tone_ratio(spark, d):
     return _rounded(t, ["doc_id", "n_tokens"], ["negative_pct", "positive_pct", "uncertainty_pct", "litigious_pct", "risk_density", "net_tone"])
 
 
-def _yoy_cosine(spark, d, grams):
-    """Single documents as sections of firms: source and lang are the firm, one document a year."""
+def tfidf_yoy_cosine(spark, d):
+    """The part of X2 that its SQL covers: single words only. Single documents as sections of firms: source and lang are the firm, one document a year."""
     docs = table(spark, d, "documents").select("source", "lang", "doc_id", "text")
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
     own = docs.select(F.concat_ws("-", "source", "lang").alias("ticker"), F.row_number().over(w).alias("fiscal_year"), "text")
-    weights = tf.tfidf(own, ["ticker", "fiscal_year"], "ticker", grams=grams).persist()  # read three times; on disk where memory ends
+    weights = tf.tfidf(own, ["ticker", "fiscal_year"], "ticker", grams=1).persist()  # read three times; on disk where memory ends
     return _rounded(tf.yearly_similarity(weights), ["ticker", "fiscal_year"], ["similarity", "delta"])
 
 
-def tfidf_yoy_cosine(spark, d):
-    """The part of X2 that its SQL covers: single words only."""
-    return _yoy_cosine(spark, d, 1)
-
-
 def tfidf_yoy_cosine_2grams(spark, d):
-    """1- and 2-grams."""
-    return _yoy_cosine(spark, d, 2)
+    """1- and 2-grams. Rows are numbered without their texts, which move only where the numbers are too many for a broadcast."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    docs = table(spark, d, "documents").select("source", "lang", "doc_id", "text", at.alias("at"))
+    w = Window.partitionBy("source", "lang").orderBy("doc_id", "at")
+    numbers = docs.select(F.concat_ws("-", "source", "lang").alias("ticker"), F.row_number().over(w).alias("fiscal_year"), "at")
+    numbers = F.broadcast(numbers) if docs.count() <= 300_000 else numbers
+    own = docs.select("at", "text").join(numbers, "at").select("ticker", "fiscal_year", "text")
+    return _rounded(tf.yearly_text_similarity(own), ["ticker", "fiscal_year"], ["similarity", "delta"])
 
 
 def divergence(spark, d):

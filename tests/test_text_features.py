@@ -49,3 +49,25 @@ def test_stop_words_go_before_bigrams(spark):
     assert terms == {"risk", "loss", "grow", "risk loss", "loss grow"}
     got = {(r.ticker, r.fiscal_year): r.similarity for r in tf.yearly_similarity(weights).withColumn("x", F.lit(1)).collect()}
     assert got == pytest.approx({(f"t{i}", 1): 1.0 for i in range(6)})
+
+
+def test_packed_similarity_sends_no_row_for_each_term(spark):
+    """The same figures as tfidf and yearly_similarity, for repeated, null and wordless texts, gaps, three-grams; rows shuffled stay few."""
+    words = "risk of loss may grow with debt and cash".split()
+    docs = [(f"t{i}", y, " ".join(words[(i * y + k) % (3 + i % 6)] for k in range(2 + 7 * y % 11))) for i in range(9) for y in (1, 2, 3, 5, 6)]
+    docs += [("t1", 2, "Risk of LOSS"), ("t2", 4, None), ("t3", 4, "1 2 3"), (None, 2, "risk of loss"), ("t4", None, "of loss"), ("t5", 7, "loss"), ("t6", 7, "loss")]
+    df = spark.createDataFrame(docs, "ticker string, fiscal_year int, text string")
+    for options in ({}, {"grams": 1}, {"grams": 3, "stop_words": ("of",), "least_entities": 2, "most_share": 0.6}):
+        want = {(r.ticker, r.fiscal_year): (r.similarity, r.delta) for r in tf.yearly_similarity(tf.tfidf(df, ["ticker", "fiscal_year"], "ticker", **options)).collect()}
+        packed = tf.yearly_text_similarity(df, **options)
+        got = {(r.ticker, r.fiscal_year): (r.similarity, r.delta) for r in packed.collect()}
+        assert set(got) == set(want) and len(want) > 20
+        assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    empty = df.filter("ticker = 'nobody'")
+    assert tf.yearly_text_similarity(empty).count() == 0
+
+
+def test_query_with_bigrams_moves_no_row_for_each_term(spark, sf_dir):
+    """Of the plan's nodes none explodes texts into terms."""
+    plan = QUERIES["tfidf_yoy_cosine_2grams"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" not in plan.replace("explode(array(", "") and "MapInArrow" in plan
