@@ -311,23 +311,23 @@ _PAGE_KEY = "xxhash64(coalesce(html, ''))"
 _HOST = "coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
 
 
+def _read(batch: pa.RecordBatch) -> dict:
+    """The columns of ``subtrees``; pages one at a time, since the tree of a page is many times its text."""
+    found = []
+    for html in C.column(batch, "html"):
+        page = Page(html.as_py() or "")
+        found.append((page.key(), *map(sorted, page.hashes())))
+    return {"host": C.column(batch, "host"), "page_key": C.column(batch, "page_key")} | dict(zip(("article", "outer", "parts", "lines"), map(list, zip(*found))))
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
     """host, page_key, unit, hash, line of each block-level subtree that may be a template; pages with equal html on a host once.
 
     unit is what counts once: the page outside an article, else the article; line: a single line of an article.
     """
 
-    def make():
-        def run(batch):
-            read = [Page(t) for t in C.texts(batch, "html")]
-            found = list(zip(*(p.hashes() for p in read)))
-            own = {"host": C.column(batch, "host"), "page_key": C.column(batch, "page_key"), "article": [p.key() for p in read]}
-            return own | {k: [sorted(x) for x in sets] for k, sets in zip(("outer", "parts", "lines"), found)}
-
-        return run
-
     keyed = pages.select(F.expr(_HOST).alias("host"), F.expr(_PAGE_KEY).alias("page_key"), "html")
-    found = C.map_batches(keyed, "host string, page_key bigint, article bigint, outer array<bigint>, parts array<bigint>, lines array<bigint>", make).filter("size(outer) + size(parts) + size(lines) > 0")
+    found = C.map_batches(keyed, "host string, page_key bigint, article bigint, outer array<bigint>, parts array<bigint>, lines array<bigint>", lambda: _read).filter("size(outer) + size(parts) + size(lines) > 0")
     kinds = (("outer", "page_key", "false"), ("parts", "article", "false"), ("lines", "article", "true"))
     each = F.explode(F.expr("concat(" + ", ".join(f"transform({k}, h -> struct(h as hash, {unit} as unit, {line} as line))" for k, unit, line in kinds) + ")"))
     found = found.dropDuplicates(["host", "page_key"]).select("host", "page_key", each.alias("s"))
@@ -354,9 +354,14 @@ def extract(pages: DataFrame, min_pages: int = 5, broadcast_rows: int = 1_000_00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = C.arrow_schema(schema)
-        for batch in batches:
-            got = [Page(h).without(set(t or ())) for h, t in zip(C.texts(batch, "html"), C.column(batch, "templates").to_pylist())]
-            yield C.to_batch({"page_id": C.column(batch, "page_id"), "url": C.column(batch, "url"), "text": ["\n\n".join(x) for x, _ in got], "n_template": [n for _, n in got]}, out)
+        for batch in (p for b in batches for p in C.pieces(b)):
+            texts, counts = [], []
+            for h, t in zip(C.column(batch, "html"), C.column(batch, "templates")):
+                blocks, n = Page(h.as_py() or "").without(set(t.as_py() or ()))
+                texts.append("\n\n".join(blocks))
+                counts.append(n)
+            yield C.to_batch({"page_id": C.column(batch, "page_id"), "url": C.column(batch, "url"), "text": texts, "n_template": counts}, out)
+        C.give_back()
 
     return joined.mapInArrow(run, schema)
 

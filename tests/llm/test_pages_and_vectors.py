@@ -207,3 +207,26 @@ def test_archive_is_read_by_its_records(spark, tmp_path):
     kinds = [(r.type, r.uri) for r in warc.read_records(m).collect()]
     assert sorted(kinds) == [("metadata", "u"), ("request", "u"), ("response", "u")] and math.isclose(m.first().captures, 1)
     assert C.work_dir(spark)
+
+
+def test_one_page_tree_at_a_time(monkeypatch):
+    """A batch of pages holds the tree of one page, not of all."""
+    import weakref
+
+    import pyarrow as pa
+
+    from ledgerloom.llm import html_extract
+
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(html_extract.Page):
+        def __init__(self, html):
+            super().__init__(html)
+            alive.add(self)
+            most.append(len(alive))
+
+    monkeypatch.setattr(html_extract, "Page", Counted)
+    html = [f"<main><div><p>Text {i}</p></div></main>" for i in range(50)] + [None, ""]
+    got = html_extract._read(pa.record_batch({"host": ["h"] * 52, "page_key": list(range(52)), "html": html}))
+    assert len(got["article"]) == len(got["parts"]) == 52 and got["parts"][-1] == [] and all(got["parts"][:50])
+    assert max(most) <= 2  # the last one goes when the next is made
